@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, packing, sharding, token_files, token_rollup, topk, url_filter
+from . import ann, mixing, ngram_join, packing, sharding, token_files, token_rollup, topk, toxicity, url_filter
 from .common import Workspace, table
 
 SHARD_BYTES = 64 << 20
@@ -71,10 +71,25 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = toxicity.score(docs, lexicon, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -118,5 +133,5 @@ FROM (SELECT t.doc_id, t.n_bytes, min_by(b.shard, b.d) AS shard FROM (SELECT row
       JOIN b ON b.shard = substr(t.bits, 1, b.d) GROUP BY t.r, t.doc_id, t.n_bytes)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_nearest_neighbours, op5_best_fit_packing, op7_mixing, op8_token_files, op9_exact_topk, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_nearest_neighbours, op4_ngram_join, op5_best_fit_packing, op6_toxicity, op7_mixing, op8_token_files, op9_exact_topk, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {"op1_token_counts": OP1_SQL, "op2_url_filter": OP2_SQL, "op9_exact_topk": OP9_SQL, "op10_sharding": OP10_SQL}
