@@ -1,0 +1 @@
+"""Nothing here: all inputs are whole tables, and the surveyed capabilities have no streaming semantics to keep."""
