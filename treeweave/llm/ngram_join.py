@@ -103,34 +103,58 @@ def _publish(buckets: int, words: int):
     return publish
 
 
-def _screen(t):
-    """doc_id, n, matched: facts as they come, and how many prefix shingles of a document occur in another task's documents too."""
+def _summed(ids, sizes, matched):
+    """Arrays of ids with their largest size and summed matches."""
+    import numpy as np
+
+    u, at = np.unique(ids, return_inverse=True)
+    n, m = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+    np.maximum.at(n, at, sizes)
+    np.add.at(m, at, matched)
+    return u, n, m
+
+
+def _screen(parts: int):
+    def screen(t):
+        """Documents' facts, and how many of their prefix shingles occur in another task's documents too; one row for each part of the documents."""
+        import numpy as np
+        import pyarrow as pa
+
+        facts = np.array(t.column("facts").to_pylist(), bool)
+        hs, ds, ms = (t.column(c).to_pylist() for c in "hdm")
+        ids, sizes, matched = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero(facts):
+            for out, blob in ((ids, ds[k]), (sizes, hs[k]), (matched, ms[k])):
+                out.append(np.frombuffer(blob, np.int64))
+        rest = np.flatnonzero(~facts)
+        if len(rest):
+            h = np.concatenate([np.frombuffer(hs[k], np.uint64) for k in rest])
+            d = np.concatenate([np.frombuffer(ds[k], np.int64) for k in rest])
+            m = np.concatenate([np.frombuffer(ms[k], np.uint8) for k in rest])
+            order = np.argsort(h, kind="stable")
+            h, d, m = h[order], d[order], m[order]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            count = np.diff(np.append(starts, len(h)))
+            hit = d[np.repeat(count > 1, count) & (m == 0)]  # those held by several in one task are counted there
+            ids.append(hit)
+            sizes.append(np.zeros(len(hit), np.int64))
+            matched.append(np.ones(len(hit), np.int64))
+        u, n, m = _summed(np.concatenate(ids), np.concatenate(sizes), np.concatenate(matched))
+        order, at = _split(u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts)
+        some = [p for p in range(parts) if at[p + 1] > at[p]]
+        blobs = [pa.array([x[order[at[p] : at[p + 1]]].tobytes() for p in some], pa.binary()) for x in (u, n, m)]
+        return pa.table({"part": pa.array(some, pa.int32()), "d": blobs[0], "n": blobs[1], "m": blobs[2]})
+
+    return screen
+
+
+def _gather(t):
+    """doc_id, n, matched of one part of the documents."""
     import numpy as np
     import pyarrow as pa
 
-    facts = np.array(t.column("facts").to_pylist(), bool)
-    hs, ds, ms = (t.column(c).to_pylist() for c in "hdm")
-    ids, sizes, matched = [], [], []
-    for k in np.flatnonzero(facts):
-        ids.append(np.frombuffer(ds[k], np.int64))
-        sizes.append(np.frombuffer(hs[k], np.int64))
-        matched.append(np.frombuffer(ms[k], np.int64))
-    rest = np.flatnonzero(~facts)
-    if len(rest):
-        h = np.concatenate([np.frombuffer(hs[k], np.uint64) for k in rest])
-        d = np.concatenate([np.frombuffer(ds[k], np.int64) for k in rest])
-        m = np.concatenate([np.frombuffer(ms[k], np.uint8) for k in rest])
-        order = np.argsort(h, kind="stable")
-        h, d, m = h[order], d[order], m[order]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        count = np.diff(np.append(starts, len(h)))
-        hit = np.repeat(count > 1, count) & (m == 0)  # those held by several in one task are counted there
-        u, c = np.unique(d[hit], return_counts=True)
-        ids.append(u)
-        sizes.append(np.zeros(len(u), np.int64))
-        matched.append(c)
-    cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.table({"doc_id": cat(ids), "n": cat(sizes), "matched": cat(matched)})
+    u, n, m = _summed(*(np.concatenate([np.frombuffer(x, np.int64) for x in t.column(c).to_pylist()]) for c in "dnm"))
+    return pa.table({"doc_id": u, "n": n, "matched": m})
 
 
 def _sets(words: int):
@@ -329,8 +353,8 @@ def link_components(docs: DataFrame, words: int = 5) -> DataFrame:
     buckets = 2 * partitions(spark)
 
     blobs = named.mapInArrow(_publish(buckets, words), "bucket int, facts boolean, h binary, d binary, m binary")
-    found = blobs.groupBy("bucket").applyInArrow(_screen, "doc_id long, n long, matched long")
-    stats = work.write(found.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("matched").alias("matched")), "stats")
+    found = blobs.groupBy("bucket").applyInArrow(_screen(buckets), "part int, d binary, n binary, m binary")
+    stats = work.write(found.groupBy("part").applyInArrow(_gather, "doc_id long, n long, matched long"), "stats")
     least = F.ceil(F.col("n") * 4 / 5)  # of the document; a partner has no fewer than this many shingles
     survivors = stats.filter(F.col("matched") >= F.greatest(F.lit(1), F.floor(F.ceil(least * 4 / 5) / SHARE))).select("doc_id")
     n_survivors = survivors.count()
@@ -343,7 +367,10 @@ def link_components(docs: DataFrame, words: int = 5) -> DataFrame:
     n_classes = classes.count()
     copies = one.join(small(classes, n_classes), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     mine = classes.withColumnRenamed("rep", "doc_id")
-    reps = work.write(sets.join(small(mine, n_classes), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key]).select("doc_id", "n", "s"), "reps")
+    reps = sets.join(small(mine, n_classes), ["doc_id", *key], "left_semi")
+    if one.count() < sets.count():  # rows repeat ids
+        reps = reps.dropDuplicates(["doc_id", *key])
+    reps = work.write(reps.select("doc_id", "n", "s"), "reps")
 
     packed = work.write(reps.select("doc_id", "s").mapInArrow(_batches, "batch long, d binary, n binary, h binary"), "batches")
     counted = packed.select("batch", "h").mapInArrow(_count(buckets), "bucket int, batch long, h binary, c binary")
