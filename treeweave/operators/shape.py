@@ -49,7 +49,7 @@ def pad_to(df: DataFrame, target: int, valid: str = VALID, strict: bool = False)
     if n >= target:
         return rows
     padding = spark.range(target - n).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema], F.lit(False).alias(valid))
-    return rows.unionByName(padding)
+    return rows.union(padding)
 
 
 def compact_keeping(df: DataFrame, mark: Column, keep: int, order: Sequence[str]) -> DataFrame:
