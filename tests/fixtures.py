@@ -42,8 +42,14 @@ def brute(tables, parent, jp, jc) -> Counter:
 
 
 def frames(spark, tables):
-    width = [len(t[0]) if t else 2 for t in tables]
-    return [spark.createDataFrame(t, ", ".join(f"c{i} long" for i in range(w))) for t, w in zip(tables, width)]
+    """Literal rows, which need no Python workers."""
+    out = []
+    for t in tables:
+        width = len(t[0]) if t else 2
+        columns = ", ".join(f"CAST(c{i} AS BIGINT) AS c{i}" for i in range(width))
+        rows = ", ".join("(" + ", ".join("NULL" if x is None else str(x) for x in r) + ")" for r in t or [(0,) * width])
+        out.append(spark.sql(f"SELECT {columns} FROM VALUES {rows} AS t({', '.join(f'c{i}' for i in range(width))})" + ("" if t else " WHERE false")))
+    return out
 
 
 def bag(df) -> Counter:
