@@ -27,11 +27,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, small
+from .common import Workspace, partitions, release, small
 from .components import components
 
 SHARE = 10  #: the screen's l is ceil(0.8 n) / SHARE
-FLUSH = 1_500_000  #: prefix shingles that a task of the screen holds
+FLUSH = 400_000  #: prefix shingles that a task of the screen holds
 BATCH = 400_000  #: shingles of a written batch of representatives
 MOST = 64  #: longest l
 VERIFY = 20.0  #: cost of a verification against that of reading a prefix entry
@@ -90,7 +90,7 @@ def _publish(buckets: int, words: int):
             for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"), words)):
                 c = need(len(s))
                 if len(s):
-                    held.append(s[: min(len(s), len(s) - c + max(1, c // SHARE))])
+                    held.append(s[: min(len(s), len(s) - c + max(1, c // SHARE))].copy())  # not a view, which would keep the whole set
                     docs.append(i)
                     sizes.append(len(s))
                     n += len(held[-1])
@@ -99,6 +99,7 @@ def _publish(buckets: int, words: int):
                     held, sizes, docs, n = [], [], [], 0
         if docs:
             yield flush()
+        release()
 
     return publish
 
@@ -172,6 +173,7 @@ def _sets(words: int):
             # a set's 128-bit name: sums of two hashes of its shingles
             one, two = (pa.array(np.array([mix(s, f).sum() for s in got], np.uint64).view(np.int64)) for f in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(ends), pa.int64()), one, two, lists], names=["doc_id", "n", "c1", "c2", "s"])
+        release()
 
     return sets
 
@@ -201,6 +203,7 @@ def _batches(batches: Iterator) -> Iterator:
                 k, n, ids, sets = k + 1, 0, [], []
     if ids:
         yield row()
+    release()
 
 
 def _count(buckets: int):

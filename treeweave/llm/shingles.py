@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
-CHUNK = 1 << 20  #: bytes of text hashed at a time, at least one document
+CHUNK = 1 << 19  #: bytes of text hashed at a time, at least one document
 _tables: dict[str, np.ndarray] = {}
 
 

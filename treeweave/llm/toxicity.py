@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, release
 
 SAMPLE = 12_000
 ENTRIES = 3000  #: most candidate entries, those in most toxic documents first
@@ -60,8 +60,8 @@ def fold(text: str | None) -> str:
         import re
 
         signs = re.escape("".join(SUBSTITUTES))
-        # a sign counts as a letter with a letter before it and a letter or sign behind it, or at a word's start before a letter
-        _inside = re.compile(rf"(?<=[^\W\d_])[{signs}]+(?=[^\W\d_])|(?<![^\s])[{signs}](?=[^\W\d_])"), str.maketrans(SUBSTITUTES), re.compile(rf"[{signs}']+(?=\s|$)|(?<!\S)'"), re.compile(rf"[{signs}]")
+        # a sign counts as a letter with a letter before it and a letter or sign behind it, or (marks of exclamation and bars aside) at a word's start before a letter
+        _inside = re.compile(rf"(?<=[^\W\d_])[{signs}]+(?=[^\W\d_])|(?<![^\s])[0134578@$](?=[^\W\d_])"), str.maketrans(SUBSTITUTES), re.compile(r"[@$!|']+(?=\s|$)|(?<!\S)[@$!|']+"), re.compile(rf"[{signs}]")
     if not text:
         return " "
     inside, letters, ends, any_sign = _inside
@@ -137,12 +137,22 @@ def _frequencies(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     toxic, other = Counter(), Counter()
+
+    def row() -> pa.RecordBatch:
+        # what no toxic document here has may have them elsewhere, so all are sent
+        names = list(toxic.keys() | other.keys())
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()), pa.array([other[n] for n in names], pa.int64())], names=["entry", "toxic", "other"])
+        toxic.clear()
+        other.clear()
+        return out
+
     for b in batches:
         for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
             (toxic if y else other).update(_candidates(fold(text)))
-    # what no toxic document here has may have them elsewhere, so all are sent
-    names = list(toxic.keys() | other.keys())
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()), pa.array([other[n] for n in names], pa.int64())], names=["entry", "toxic", "other"])
+            if len(toxic) + len(other) >= 200_000:
+                yield row()
+    yield row()
+    release()
 
 
 def _evidence(pos: int, neg: int, all_pos: int, all_neg: int) -> float:
@@ -159,7 +169,7 @@ def choose(found: list[tuple[list[int], int]], names: list[str], all_pos: int, a
 
     First all that are far more often in toxic documents than chance allows, given how many candidates were looked
     at. Then, of the documents without a chosen entry, again and again the entry with the most evidence. Of entries that
-    extend each other, the shortest stands for all whose documents it has at no less purity; a whole word goes before beginnings of about the same documents.
+    extend each other, the one with most evidence stands for those that mostly share its documents; a whole word goes before beginnings of about the same documents.
     """
     limit = math.log(tests / CHANCE)
     docs_of: dict[int, set[int]] = {}
@@ -185,8 +195,8 @@ def choose(found: list[tuple[list[int], int]], names: list[str], all_pos: int, a
         return out
 
     def order(scored: list[tuple[float, float, int]]) -> list[int]:
-        # most evidence first; a whole word counts for a little more than a beginning of it
-        return [i for _, _, i in sorted(((-g * (1.05 if names[i].endswith(" ") else 1.0), len(names[i]), i) for g, _, i in scored))]
+        # most evidence first, of equals the longest; a whole word counts for a little more than a beginning of it
+        return [i for _, _, i in sorted(((-g * (1.05 if names[i].endswith(" ") else 1.0), -len(names[i]), i) for g, _, i in scored))]
 
     scored = [(*facts(docs, all_pos, all_neg), i) for i, docs in docs_of.items()]
     chosen = unlike(order([x for x in scored if x[0] >= limit and x[1] >= PURITY and len(docs_of[x[2]] & toxic) >= LEAST]), [])
@@ -230,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, sample: int = SAMPLE) ->
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y")  # picked: about `sample` ids
     rows = work.write(rows.mapInArrow(_keyed, "text string, y int, k1 long, k2 long"), "labelled")
     # near copies count once: they mostly share the least or the greatest shingle hash
-    rows = work.write(rows.filter("k1 IS NOT NULL").dropDuplicates(["y", "k1"]).dropDuplicates(["y", "k2"]).select("text", "y").repartition(8), "sample")
+    rows = work.write(rows.filter("k1 IS NOT NULL").dropDuplicates(["y", "k1"]).dropDuplicates(["y", "k2"]).select("text", "y").repartition(16), "sample")
     pos, neg = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     if not pos or not neg:
         return Lexicon(bias=math.log((pos + 0.5) / (neg + 0.5)))
@@ -315,6 +325,7 @@ def score(docs: DataFrame, lexicon: Lexicon, name: str = "score", keep: list[str
         for b in batches:
             s = [lexicon.score(automaton, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(s, pa.float64())], names=[*kept, name])
+        release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, f"{fields}, `{name}` double")
