@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from array import array
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def rows(batch, *columns: str, at_once: int = 256) -> Iterator[tuple]:
+    """The rows of an Arrow batch as Python values, few at a time: texts are not all held twice."""
+    for k in range(0, batch.num_rows, at_once):
+        part = batch.slice(k, at_once)
+        yield from zip(*(part.column(c).to_pylist() for c in columns))
+
+
 def release() -> None:
     """Hands the memory that a Python worker has freed back to the system: workers outlive their tasks."""
     import ctypes
@@ -105,23 +113,27 @@ class BpeCodec:
         self.words = _Words(self)
         self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, piece: str, coded: str | None = None) -> bytes:
+    def _ids(self, piece: str, coded: str | None = None) -> bytes:
+        coded = coded or piece.encode().decode("latin-1").translate(self.bytes)
+        ids = array("H", [t.id for t in self.model.tokenize(coded)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             if len(self.pieces) >= self.LIMIT:
                 self.pieces.clear()
-            coded = coded or piece.encode().decode("latin-1").translate(self.bytes)
-            ids = array("H", [t.id for t in self.model.tokenize(coded)])
-            if sys.byteorder == "big":
-                ids.byteswap()
-            got = self.pieces[piece] = ids.tobytes()
+            got = self.pieces[piece] = self._ids(piece)
         return got
 
     def _word(self, word: str) -> bytes:
         """A word of letters, or one such with a mark behind it, is told without the pattern; letters beyond U+024F aren't, as Unicode versions differ there."""
         body, mark = (word, "") if word[-1:] not in MARKS else (word[:-1], word[-1:])
         if body.isalpha() and max(body) < "\u0250":
-            return self._piece(" " + body, self.space + body if body.isascii() else None) + (self._piece(mark) if mark else b"")
+            # plain words are kept once, among the words and not among the pieces
+            return self.words[body] + self._piece(mark) if mark else self._ids(" " + body, self.space + body if body.isascii() else None)
         return self._any(" " + word)
 
     def _any(self, text: str) -> bytes:

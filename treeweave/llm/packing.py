@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, codec
+from .common import Workspace, codec, rows
 
 CAPACITY = 2048
 END = 0
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
         bpe, tail = codec(vocabulary), np.array([end], "<u2").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for i, text in rows(b, "doc_id", "text"):
                 ids = np.frombuffer(bpe.encode(text) + tail, "<u2").astype("<u4")
                 for k, (s, n) in enumerate(cut(len(ids), capacity)):
                     part = ids[s : s + n].tobytes()
