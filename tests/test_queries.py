@@ -38,3 +38,8 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(registry.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_like_predicates_drops_the_word_of_its_sql(spark, tmp_path):
+    spark.createDataFrame([(1, "red anvil"), (2, "blue anvil"), (3, "small ring"), (4, None)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.p_partkey for r in registry.QUERIES["like_predicates"](spark, str(tmp_path)).collect()} == {2, 3}

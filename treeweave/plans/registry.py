@@ -403,7 +403,7 @@ def unprobed_rows(spark, d):
 
 @query("SELECT p_partkey, p_name FROM part WHERE (p_name LIKE '%a%' OR p_name LIKE '%e%') AND NOT p_name LIKE '%red%'")
 def like_predicates(spark, d):
-    return w.load(spark, d, "part").filter(like_filter(F.col("p_name"), ["a", "e"], ["blue"])).select("p_partkey", "p_name")
+    return w.load(spark, d, "part").filter(like_filter(F.col("p_name"), ["a", "e"], ["red"])).select("p_partkey", "p_name")
 
 
 _BUCKET = "CAST(((CAST({} AS HUGEINT) * 2654435761) & 4294967295) % 100 AS BIGINT)"
