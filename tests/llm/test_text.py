@@ -215,6 +215,25 @@ def test_toxicity(spark):
     assert toxicity.fit(df, y.filter("toxic = 0")).entries == {} and toxicity.score(df.limit(0), lexicon).count() == 0
 
 
+def test_toxicity_exceptions(spark):
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(1050):
+        w = [f"n{r.randrange(2000)}" for _ in range(r.randrange(30, 60))]
+        toxic = i % 7 == 0  # 150 of 1050
+        # 149 toxic and 40 clean documents have the entry; "so grubby" is in 4 clean and 1 toxic, so more often in a toxic one
+        use = ("grubby" if i else "so grubby") if toxic else "not grubby hands" if i % 25 == 1 else "so grubby" if i in (3, 10, 17, 24) else None
+        if use:
+            w.insert(r.randrange(5, 25), use)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    automaton = lexicon.automaton()
+    hits = lambda t: lexicon.features(automaton, t)[2]
+    assert {" not grubby ", " grubby hands "} <= set(lexicon.exceptions) and hits("a grubby b") == 1 and hits("not grubby hands") == 0
+    assert (hits("not grubby hands and a grubby one"), " so grubby " in lexicon.exceptions) == (1, False)
+
+
 def test_nearest_neighbours(spark):
     r = np.random.default_rng(8)
     centres = r.standard_normal((8, 16)) * 3

@@ -2,8 +2,8 @@
 
 Folding lower-cases, maps homoglyphs to Latin letters, undoes digit and sign substitutions inside words and turns other
 punctuation into spaces. Lexicon entries are whole words or word beginnings; both are learned from labelled rows.
-Exception phrases (an entry with the word before or behind it) take a hit back. A document's score is a logistic function of its
-summed weights, as such and by length.
+Exception phrases (an entry with the word before or behind it) take the hits in them back, each hit once however many phrases
+it is in. A document's score is a logistic function of its summed weights, as such and by length.
 
 fit() reads at most about SAMPLE labelled documents, picked by a hash: a documented bound; frequencies are counted on
 the executors and the lexicon has at most ENTRIES candidates. Labels, language, source and id are no inputs of a score.
@@ -80,7 +80,7 @@ class Lexicon:
     """entries: text as it stands in folded text (" word " or " beginning") and its weight; exceptions: phrases in the same form."""
 
     entries: dict[str, float] = field(default_factory=dict)
-    exceptions: dict[str, float] = field(default_factory=dict)
+    exceptions: set[str] = field(default_factory=set)
     bias: float = 0.0
     slope: tuple[float, float] = (0.0, 0.0)
 
@@ -90,9 +90,8 @@ class Lexicon:
         a = ahocorasick.Automaton()
         for phrase, w in self.entries.items():
             a.add_word(phrase, (phrase, w, False))
-        for phrase, w in self.exceptions.items():
-            if phrase not in self.entries:
-                a.add_word(phrase, (phrase, w, True))
+        for phrase in self.exceptions - self.entries.keys():
+            a.add_word(phrase, (phrase, 0.0, True))
         if len(a):
             a.make_automaton()
         return a
@@ -100,14 +99,18 @@ class Lexicon:
     def features(self, automaton, text: str | None) -> tuple[float, float, int]:
         """Summed weight, the same by length (a thousand words are about one unit for one entry), hits."""
         t = fold(text)
-        total, hits = 0.0, 0
+        found, harmless = [], set()
         if len(automaton):
-            for _, (_, w, exception) in automaton.iter(t):
-                total += -w if exception else w
-                hits += -1 if exception else 1
+            for end, (phrase, w, exception) in automaton.iter(t):
+                start = end - len(phrase) + 1
+                if exception:  # hits begin with the space before a word
+                    harmless.update(start + k for k, c in enumerate(phrase[:-1]) if c == " ")
+                else:
+                    found.append((start, w))
+        left = [w for start, w in found if start not in harmless]
         n = t.count(" ") - 1
-        total = max(total, 0.0)
-        return total, total / (n + 20.0) * 1000.0, max(hits, 0)
+        total = max(sum(left), 0.0)
+        return total, total / (n + 20.0) * 1000.0, len(left)
 
     def score(self, automaton, text: str | None) -> float:
         total, by_length, _ = self.features(automaton, text)
@@ -278,8 +281,9 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, sample: int = SAMPLE) ->
 
     if chosen:
         around = rows.mapInArrow(phrases, "phrase string, toxic long, other long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        harmless = around.filter((F.col("other") >= 3) & (F.col("other") > 3 * F.col("toxic"))).orderBy(F.desc("other"), "phrase").limit(ENTRIES).collect()
-        draft.exceptions = {r.phrase: max(w for e, w in draft.entries.items() if e in r.phrase) for r in harmless}
+        clean = (1 - PURITY) * F.col("other") / F.lit(neg) > PURITY * F.col("toxic") / F.lit(pos)  # with both kinds weighed as if equally many
+        harmless = around.filter((F.col("other") >= 3) & clean).orderBy(F.desc("other"), "phrase").limit(ENTRIES).collect()
+        draft.exceptions = {r.phrase for r in harmless}
 
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa
