@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 next stage's docs. All stages but the last return the columns of documents.
 
 Defined cases: null or empty texts are clean, are no duplicates, take part in no mix (size 0) and so end there; rows
-without a doc_id are never duplicates; rows that repeat a doc_id are duplicates, of which one stays; an empty table stays empty.
+without a doc_id are never duplicates; rows that repeat a doc_id are duplicates, of which the one with the greatest text stays; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
     n = others.count()
     kept = docs.join(small(others, n), "doc_id", "left_anti")
-    # ids that several rows carry: one row of each stays
+    # ids that several rows carry: of each the row with the greatest text, then the greatest other columns, stays
     repeated = groups.filter("doc_id IS NOT NULL AND component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
     n = repeated.count()
     if n:
-        once = kept.join(small(repeated, n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        row = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+        once = kept.join(small(repeated, n), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(row).alias("row")).select("doc_id", "row.*")
         kept = kept.join(small(repeated, n), "doc_id", "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 

@@ -166,6 +166,30 @@ def test_ngram_join_edge_cases(spark):
     assert ngram_join.link_components(df.limit(0)).count() == 0
 
 
+def test_ngram_join_texts_of_one_id(spark):
+    r = random.Random(5)
+    long, short, other = words(r, 40), words(r, 20), words(r, 30)
+    last = 2**63 - 1
+    rows = [(7, long), (7, short), (7, None), (3, short), (last, long), (5, other), (5, None), (8, other), (6, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, got = {}, {}
+    for x in ngram_join.link_components(df).collect():
+        assert got.setdefault(x.doc_id, x.component_id) == x.component_id
+        sizes[x.doc_id] = x.n_shingles
+    assert got == {7: 3, 3: 3, last: 3, 5: 5, 8: 5, 6: 6}
+    n = {t: brute_components([(1, t)])[1][0] for t in (long, short, other)}
+    assert sizes == {7: n[long], 3: n[short], last: n[long], 5: n[other], 8: n[other], 6: 0}
+
+
+def test_pipeline_keeps_a_fixed_row(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "a b c d e f", "x"), (1, "q r s t u v", "y"), (1, None, "z"), (2, "k l m n o p", "x")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string").coalesce(1)
+        assert sorted(tuple(x) for x in p.drop_near_duplicates(spark, df, "").collect()) == [rows[1], rows[3]]
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]

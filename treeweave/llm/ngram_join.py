@@ -16,7 +16,7 @@ uses is its own choice: a pair has to share the smaller of its two l.
    one another; long lists are dealt over bounded cells.
 
 Defined cases: null or empty texts have 0 shingles and link with nothing; a text of fewer words than a shingle is one
-shingle; doc_id names a document: rows that repeat it are one document, with the largest of their sets;
+shingle; doc_id names a document: rows that repeat it are one document, with the links of all their texts and the size of the largest set;
 rows without an id get component null and 0 shingles. An empty table gives no rows. Other columns are not looked at.
 """
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import dense_ids
 from .common import Workspace, partitions, release, small
 from .components import components
 
@@ -349,10 +350,49 @@ LINKED = "100 * both >= 80 * (na + nb - both)"
 
 def link_components(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "ngram")
+    work = Workspace(docs.sparkSession, "ngram-ids")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     named = texts.filter("doc_id IS NOT NULL")
+    repeated = work.write(named.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id"), "repeated")
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return _link_texts(texts, words)
+    # every distinct text of a repeated id is joined under a number that no document has; then the id links its numbers
+    numbered = work.write(dense_ids(named.join(small(repeated, n_repeated), "doc_id", "left_semi"), ["doc_id", "text"], "number"), "numbered")
+    n_numbered = numbered.count()
+    numbered = numbered.withColumn("number", F.col("number") + F.lit(_free(named, n_numbered)).cast("long"))
+    once = named.join(small(repeated, n_repeated), "doc_id", "left_anti").select("doc_id", "text")
+    linked = _link_texts(once.unionByName(numbered.select(F.col("number").alias("doc_id"), "text")), words)
+    owners = numbered.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("owner"))
+    linked = work.write(linked.join(small(owners, n_numbered), "doc_id", "left"), "linked")
+    merged = components(linked.filter("owner IS NOT NULL").select(F.col("component_id").alias("a"), F.col("owner").alias("b")), work, "merged")
+    label = F.coalesce("component", "component_id").alias("label")
+    labelled = linked.join(merged.withColumnRenamed("node", "component_id"), "component_id", "left").select(F.coalesce("owner", "doc_id").alias("doc_id"), "n_shingles", label)
+    labelled = work.write(labelled.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.min("label").alias("label")), "labelled")
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component"))
+    out = texts.select("doc_id").join(labelled.join(least, "label").select("doc_id", "n", "component"), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _free(named: DataFrame, n: int) -> int:
+    """The first of n numbers in a row that are no doc_id."""
+    import random
+
+    most = named.agg(F.max("doc_id")).first()[0]
+    if most + n < 2**63:
+        return most + 1
+    r = random.Random(n)
+    while True:
+        k = r.randrange(-(2**63), 2**63 - n)
+        if named.filter(F.col("doc_id").between(k, k + n)).isEmpty():
+            return k
+
+
+def _link_texts(texts: DataFrame, words: int) -> DataFrame:
+    """The same where no two rows share an id."""
+    spark = texts.sparkSession
+    work = Workspace(spark, "ngram")
+    named = texts.filter("doc_id IS NOT NULL")
     buckets = 2 * partitions(spark)
 
     blobs = named.mapInArrow(_publish(buckets, words), "bucket int, facts boolean, h binary, d binary, m binary")
@@ -365,14 +405,12 @@ def link_components(docs: DataFrame, words: int = 5) -> DataFrame:
     sets = named.join(small(survivors, n_survivors), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, n long, c1 long, c2 long, s array<long>")
     sets = work.write(sets.filter("n > 0"), "sets")
     key = ["n", "c1", "c2"]
-    one = sets.groupBy("doc_id").agg(F.max(F.struct(*key)).alias("x")).select("doc_id", "x.*")
+    one = sets.select("doc_id", *key)
     classes = work.write(one.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     n_classes = classes.count()
     copies = one.join(small(classes, n_classes), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     mine = classes.withColumnRenamed("rep", "doc_id")
     reps = sets.join(small(mine, n_classes), ["doc_id", *key], "left_semi")
-    if one.count() < sets.count():  # rows repeat ids
-        reps = reps.dropDuplicates(["doc_id", *key])
     reps = work.write(reps.select("doc_id", "n", "s"), "reps")
 
     packed = work.write(reps.select("doc_id", "s").mapInArrow(_batches, "batch long, d binary, n binary, h binary"), "batches")
