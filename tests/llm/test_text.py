@@ -13,7 +13,7 @@ from treeweave.llm import ann, components, ngram_join, packing, token_files, tox
 from treeweave.llm.common import Workspace, codec
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = ["a  b", " a", "a ", "a \n b", "x\n\n y  z \n", "<|endoftext|> hi", "it's don't 's  're", "ünï çø \u3000 x\xa0y z\x1c a", "", "\t\t", "a\u180e b  c", "日本語 text\u2028more \U0001f600 ok", "x" * 3000, None]
+ODD = ["a  b", " a", "a ", "a \n b", "x\n\n y  z \n", "<|endoftext|> hi", "a<|endoftext|><|endoftext|> b <|endoftext|>\nc <|endoftext", "a\n\nb\nc \nd\n e", "x.\nY,\n", "no\n1\n's", "it's don't 's  're", "ünï çø \u3000 x\xa0y z\x1c a", "", "\t\t", "a\u180e b  c", "日本語 text\u2028more \U0001f600 ok", "x" * 3000, None]
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -30,9 +29,14 @@ def words(r, n):
     return " ".join(r.choice(["alpha", "beta,", "Gamma.", "δelta", "x1", "of", "the", f"w{r.randrange(10**6)}"]) for _ in range(n))
 
 
-def test_codec(library):
+def test_codec(library, monkeypatch):
+    from treeweave.llm import common
+
     r = random.Random(1)
-    for t in ODD + [words(r, 200) for _ in range(20)]:
+    odd = "".join
+    some = ["<|endoftext|>", "<|endof", "text|>", "\n", " ", "  ", "a", "é", "foo", "Bar.", "'s", "12", "!?", "\u3000", "\xa0", "\u180e", "日本", "ɐx", "\t", "\x1c", "\r\n", "İ", "x\u0301", "\x00"]
+    monkeypatch.setattr(common, "LIMIT", 50)  # so that words leave the cache and come back
+    for t in ODD + [words(r, 200) for _ in range(20)] + [odd(r.choice(some) for _ in range(r.randrange(1, 12))) for _ in range(2000)]:
         assert np.frombuffer(codec().encode(t), "<u2").tolist() == library(t)
 
 
@@ -95,7 +99,11 @@ def test_token_files(spark, library):
     order = [x.doc_id for x in sorted(got, key=lambda x: x.start)]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
     assert token_files.read_document(spark, path, 950) == [ids(dict(rows)[950])] and len(token_files.read_document(spark, path, 4)) == 2
+    assert token_files.read_document(spark, path, -5) == []
     shards = token_files.read_token_files(spark, path).collect()
+    for x in shards:
+        held = [i for i, null in zip(np.frombuffer(x.doc_ids, "<i8").tolist(), x.id_nulls) if not null]
+        assert (x.first_id, x.last_id) == ((held[0], held[-1]) if held else (None, None))
     assert len(shards) > 3 and sum(len(s.symbols) // 2 for s in shards) < at
     token_files.write_token_files(df.limit(0), path)
     assert token_files.document_digests(spark, path).count() == 0
@@ -105,8 +113,10 @@ def test_token_files(spark, library):
 def test_repair_round_trip(seed):
     r = np.random.default_rng(seed)
     ids = r.choice([1, 1, 1, 2, 3], 5000) if seed else np.full(5000, 9)
-    seq, rules, lengths = token_files.repair(ids, 50, min_count=4)
+    seq, rules, lengths = token_files.repair(ids, 50, min_count=4, top=64)
     assert len(seq) < len(ids) and len(rules)
+    left = Counter(zip(seq[:-1].tolist(), seq[1:].tolist()))
+    assert max(n for (a, b), n in left.items() if a != b) < 4 and max([n for (a, b), n in left.items() if a == b], default=0) < 4
     marks = np.concatenate([[0], np.cumsum(np.concatenate([np.ones(50, np.uint64), lengths])[seq])]).astype("<u8")[:-1 : token_files.MARK]
     shard = token_files.Shard(50, rules.tobytes(), lengths.tobytes(), seq.tobytes(), marks.tobytes())
     assert (shard.ids() == ids).all() and (shard.slice(1234, 2345) == ids[1234:2345]).all() and len(shard.slice(7, 7)) == 0

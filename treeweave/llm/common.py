@@ -84,16 +84,19 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+LITTLE = sys.byteorder == "little"
+LIMIT = 600_000  #: words of a generation of the codec's cache; the older one goes when the newer one is full
+
+
 class BpeCodec:
     """ids of byte_bpe_50k.json for whole texts, from the tokenizers library's BPE model.
 
-    A text whose spaces all stand between two other than white-space characters is cut there: the vocabulary's split
-    pattern always starts a piece at such a space, so the ids of the text are those of its words. Other texts are cut by the pattern alone. Words, and below them the pattern's pieces, are kept
-    in two bounded caches, as natural text repeats its words. Strings of special tokens are ordinary text.
+    As in the library, strings of added tokens become their ids and part the text. What lies between is cut at single spaces and
+    line feeds that stand between two other than white-space characters: the vocabulary's split pattern always starts a piece at such a
+    space, and makes such a line feed a piece of its own, so the ids of the text are those of its words. Other texts are cut by the pattern
+    alone. Words are kept in a bounded cache of two generations, as natural text repeats its words.
     """
 
-    LIMIT = 600_000  #: entries of a cache, which starts anew when full
-
     def __init__(self, path: str | None = None):
         import json
 
@@ -102,44 +105,51 @@ class BpeCodec:
         from tokenizers.models import BPE
 
         with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.model = BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], cache_capacity=0)
-        self.size = len(model["vocab"]) + 1
+            whole = json.load(f)
+        model = whole["model"]
+        self.tokenize = BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], cache_capacity=0).tokenize
+        added = {t["content"]: t for t in whole["added_tokens"]}
+        if any(t[flag] for t in added.values() for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        self.added = {name: _bytes([t["id"]]) for name, t in added.items()}
+        self.size = max([*model["vocab"].values(), *(t["id"] for t in added.values())]) + 1
+        self.part = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.split = regex.compile(public_tokenizers.PATTERN)
         # the byte alphabet of such vocabularies: printable bytes stand for themselves, the others for code points from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = {b: b for b in own} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(own))}
         self.space = chr(self.bytes[32])
         self.words = _Words(self)
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str, coded: str | None = None) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= self.LIMIT:
-                self.pieces.clear()
-            coded = coded or piece.encode().decode("latin-1").translate(self.bytes)
-            ids = array("H", [t.id for t in self.model.tokenize(coded)])
-            if sys.byteorder == "big":
-                ids.byteswap()
-            got = self.pieces[piece] = ids.tobytes()
-        return got
-
-    def _word(self, word: str) -> bytes:
-        """A word of letters, or one such with a mark behind it, is told without the pattern; letters beyond U+024F aren't, as Unicode versions differ there."""
-        body, mark = (word, "") if word[-1:] not in MARKS else (word[:-1], word[-1:])
-        if body.isalpha() and max(body) < "\u0250":
-            return self._piece(" " + body, self.space + body if body.isascii() else None) + (self._piece(mark) if mark else b"")
+        self.feed, self.marks = self.piece("\n"), {m: self.piece(m) for m in MARKS}
+
+    def _ids(self, coded: str) -> bytes:
+        return _bytes([t.id for t in self.tokenize(coded)])
+
+    def piece(self, piece: str) -> bytes:
+        """ids of one piece of the pattern."""
+        if piece.isascii() and piece.isalpha():
+            return self._ids(piece)
+        return self._ids(piece.encode().decode("latin-1").translate(self.bytes))
+
+    def word(self, word: str) -> bytes:
+        """A word that follows a space, or the start of a line. Letters, or such with a mark behind them, are told without the pattern;
+        letters beyond U+024F aren't, as Unicode versions differ there."""
+        if word[-1] in MARKS and len(word) > 1:
+            body = word[:-1]
+            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+                return (self.words.get(body) or self.words.old.get(body) or self.word(body)) + self.marks[word[-1]]
+        elif word.isalpha() and max(word) < "\u0250":
+            return self._ids(self.space + word.encode().decode("latin-1").translate(self.bytes))
+        if word[0] == "\n":
+            return self.feed + self._any(word[1:])
         return self._any(" " + word)
 
     def _any(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.split.findall(text)))
+        return b"".join(map(self.piece, self.split.findall(text)))
 
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 16-bit ids (the vocabulary has under 65,536)."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
+    def _plain(self, text: str) -> bytes:
+        """A text without added tokens."""
+        first, *rest = text.replace("\n", " \n").split(" ")
         try:
             if not first or first[-1] in SPACES:
                 raise _Spaces
@@ -147,6 +157,25 @@ class BpeCodec:
         except _Spaces:
             return self._any(text)
 
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian unsigned 16-bit ids (the vocabulary has under 65,536)."""
+        if not text:
+            return b""
+        if not any(a in text for a in self.added):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.part.finditer(text):
+            out += [self._plain(text[at : m.start()]) if m.start() > at else b"", self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:]) if at < len(text) else b""])
+
+
+def _bytes(ids: list[int]) -> bytes:
+    got = array("H", ids)
+    if not LITTLE:
+        got.byteswap()
+    return got.tobytes()
+
 
 MARKS = frozenset(".,;:!?")
 #: Every character that some version of Unicode counts as white space.
@@ -154,22 +183,30 @@ SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() or c == "\u
 
 
 class _Spaces(Exception):
-    """The text has a space beside other white space, so it can't be cut there."""
+    """The text has a space or line feed beside other white space, so it can't be cut there."""
 
 
 class _Words(dict):
-    """ids of words that follow a single space."""
+    """ids of words that follow a single space, or a line feed that stands before the word."""
 
     def __init__(self, bpe: BpeCodec):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.old, self.tokenize, self.space = bpe, {}, bpe.tokenize, bpe.space
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.bpe.LIMIT:
+        got = self.old.get(word)
+        if got is None:
+            if word.isascii() and word.isalpha() and LITTLE:
+                got = array("H", [t.id for t in self.tokenize(self.space + word)]).tobytes()
+            else:
+                body = word[1:] if word[:1] == "\n" else word
+                if not body or body[0] in SPACES or body[-1] in SPACES:
+                    raise _Spaces
+                got = self.bpe.word(word)
+        self[word] = got
+        if len(self) > LIMIT:
+            self.old = dict(self)
             self.clear()
-        if not word or word[0] in SPACES or word[-1] in SPACES:
-            raise _Spaces
-        got = self[word] = self.bpe._word(word)
         return got
 
 

@@ -1,11 +1,11 @@
 """Token-id files: Re-Pair grammar compression by shard, with expansion lengths for random access.
 
 A shard holds the ids of neighbouring documents in ascending doc_id order. Frequent pairs of symbols are replaced by
-nonterminals, again and again: a round counts all pairs of the shard, makes rules for the most frequent ones and replaces
-their occurrences from left to right. Symbols are unsigned 16-bit: the vocabulary's ids, then the shard's rules.
+nonterminals, the most frequent first, until no pair occurs MIN_COUNT times. Symbols are unsigned 16-bit: the vocabulary's ids, then
+the shard's rules.
 
 A shard is one row of a Parquet folder, so Spark's commit protocol makes the write atomic and restartable:
-part, block: the shard's place; n_ids; doc_ids: signed 64-bit, id_nulls: one byte each; n_tokens: unsigned 32-bit, ids of each document;
+part, block: the shard's place; first_id, last_id: its least and greatest doc_id; n_ids; doc_ids: signed 64-bit, id_nulls: one byte each; n_tokens: unsigned 32-bit, ids of each document;
 rules: pairs of symbols (rule k defines symbol base + k); lengths: expansion length of each rule, unsigned 32-bit;
 symbols: the compressed sequence; marks: ids expanded before every MARK-th symbol, unsigned 64-bit.
 
@@ -20,63 +20,113 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import codec, partitions, small
+from .common import codec, partitions, rows, small
 
 END = 2
 SHARD_IDS = 2_000_000  #: ids after which a shard ends, with its document
-ROUNDS = 8
-MIN_COUNT = 32  #: a pair must occur so often to be worth its rule
+MIN_COUNT = 32  #: the price of a rule: pairs that occur less often stay as they are
+MIN_USES = 8  #: places that a rule must replace, once pairs that touch others have given way: so much its 8 bytes cost twice over
+TOP = 1024  #: pairs that occur so often get their rules first
 MARK = 1024
-SCHEMA = "part int, block int, n_ids long, base int, doc_ids binary, id_nulls binary, n_tokens binary, rules binary, lengths binary, symbols binary, marks binary"
+SCHEMA = "part int, block int, first_id long, last_id long, n_ids long, base int, doc_ids binary, id_nulls binary, n_tokens binary, rules binary, lengths binary, symbols binary, marks binary"
 
 
 HASH, SLOTS = 0x9E3779B1, 20
 
 
-def repair(ids, base: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT):
-    """(symbols, rules, lengths) of an array of ids, all under base; base and the number of rules together stay under 65,536."""
+def _chosen(where, rank):
+    """Which of the ascending places to replace: no two that touch, and of touching ones the pair of the smaller rank."""
     import numpy as np
 
+    out = np.zeros(len(where), bool)
+    touch = np.diff(where) == 1
+    left = np.arange(len(where), dtype=np.int32)
+    same = np.concatenate(([False], touch & (rank[1:] == rank[:-1])))
+    if same.any():  # of one pair again and again every second, from the left
+        first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+        left = left[(left - first) % 2 == 0]
+    while len(left):
+        w, r = where[left], rank[left]
+        touch, up = np.diff(w) == 1, r[1:] > r[:-1]
+        won = np.ones(len(left), bool)
+        won[1:] = ~(touch & up)
+        won[:-1] &= ~touch | up
+        out[left[won]] = True
+        rest = ~won
+        rest[1:] &= ~(touch & won[:-1])
+        rest[:-1] &= ~(touch & won[1:])
+        left = left[rest]
+    return out
+
+
+def repair(ids, base: int, min_count: int = MIN_COUNT, min_uses: int = MIN_USES, top: int = TOP):
+    """(symbols, rules, lengths) of an array of ids, all under base; base and the number of rules together stay under 65,536.
+
+    A pass makes rules for all pairs that occur at least `least` times. That limit falls from top to min_count by quarters; at min_count
+    passes go on until no pair is left that reaches it, and look only at pairs that can have become frequent: those with a new symbol
+    and those that gave way to others. Touching pairs go to the more frequent one; a pair left with under min_uses places gets no rule in
+    that pass. The most frequent pair of a pass keeps at least half of its places, so every pass makes a rule.
+    """
+    import numpy as np
+
+    shift, hash_ = np.uint32(32 - SLOTS), np.uint32(HASH)
     seq = ids.astype(np.uint16)
-    rules = np.zeros((0, 2), np.uint16)
-    lengths = np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        room = 65_536 - base - len(rules)
-        if len(seq) < 2 or room <= 0:
-            break
-        pairs = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        ordered = np.sort(pairs)
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    size, made, rules = np.ones(65_536, np.uint32), 0, [np.zeros((0, 2), np.uint16)]
+    least, at = max(min_count, top), None
+    table = np.full(1 << SLOTS, -1, np.int16)  # the hashed number of a pair; there are under 2**15 new symbols
+    while len(seq) > 1 and (room := min(65_536 - base - made, 2**15 - 1)) > 0:
+        some = seq[:-1].astype(np.uint32) if at is None else seq[at].astype(np.uint32)
+        some <<= np.uint32(16)
+        some |= seq[1:] if at is None else seq[at + 1]
+        ordered = np.sort(some)
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero(counts >= min_count)
+        often = np.flatnonzero(counts >= least)
         if not len(often):
-            break
-        # the most frequent half first: rarer pairs are counted again once these are replaced
-        take = often[np.argsort(-counts[often], kind="stable")][: max(1, min(room, (len(often) + 1) // 2))]
-        keys = ordered[starts[take]]
-        # pairs find their rule through a hashed table; where two keys meet, the more frequent one stays
-        slot = (keys * HASH) >> np.uint32(32 - SLOTS)
-        table = np.full(1 << SLOTS, -1, np.int32)
-        table[slot[::-1]] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
-        kept = table[slot] == np.arange(len(keys))
-        keys, slot = keys[kept], slot[kept]
-        table[slot] = np.arange(len(keys), dtype=np.int32)
-        at = table[(pairs * HASH) >> np.uint32(32 - SLOTS)]
-        where = np.flatnonzero(at >= 0)
-        where = where[keys[at[where]] == pairs[where]]
-        # runs of touching occurrences: every second one, from the left
-        breaks = np.concatenate(([True], np.diff(where) > 1))
-        first = where[np.flatnonzero(breaks)[np.cumsum(breaks) - 1]]
-        where = where[(where - first) % 2 == 0]
-        seq[where] = (base + len(rules) + at[where]).astype(np.uint16)
+            if least == min_count:
+                break
+            least = max(min_count, least // 4)
+            continue
+        often = often[np.argsort(-counts[often], kind="stable")[:room]]
+        keys = ordered[starts[often]]
+        slot = (keys * hash_) >> shift
+        table[slot[::-1]] = np.arange(len(keys) - 1, -1, -1, dtype=np.int16)
+        which = table[(some * hash_) >> shift]
+        lost = np.sort(keys[table[slot] != np.arange(len(keys))])  # another, more frequent pair has their slot: they wait for the next pass
+        table[slot] = -1
+        k = np.flatnonzero(which >= 0)
+        which = which[k]
+        exact = keys[which] == some[k]
+        waiting = k[~exact]
+        waiting = waiting[np.isin(some[waiting], lost)]
+        k, which = k[exact], which[exact]
+        where, waiting = (k, waiting) if at is None else (at[k], at[waiting])
+        pick = _chosen(where, which)
+        good = np.bincount(which[pick], minlength=len(keys)) >= min(min_uses, min_count // 2)
+        mine = good[which]
+        if not mine.all():
+            waiting = np.concatenate([waiting, where[~mine]])
+            where, which = where[mine], which[mine]
+            pick = _chosen(where, which)
+            good = np.bincount(which[pick], minlength=len(keys)) > 0
+        where, which = where[pick], (np.cumsum(good) - 1)[which[pick]]
+        keys, new = keys[good], base + made
+        left, right = keys >> np.uint32(16), keys & np.uint32(65_535)
+        size[new : new + len(keys)] = size[left] + size[right]
+        rules.append(np.stack([left, right], 1).astype(np.uint16))
+        made += len(keys)
+        seq[where] = (new + which).astype(np.uint16)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
+        if least > min_count:
+            least = max(min_count, least // 4)
+        else:
+            place = np.cumsum(keep, dtype=np.int32) - 1
+            here = place[where]
+            at = np.unique(np.concatenate([here, here - 1, place[waiting[keep[waiting]]]]))
+            at = at[(at >= 0) & (at < place[-1])]
         seq = seq[keep]
-        size = np.concatenate([np.ones(base, np.uint32), lengths])
-        left, right = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(65_535)).astype(np.int64)
-        rules = np.concatenate([rules, np.stack([left, right], 1).astype(np.uint16)])
-        lengths = np.concatenate([lengths, size[left] + size[right]])
-    return seq, rules, lengths
+    return seq, np.concatenate(rules), size[base : base + made]
 
 
 class Shard:
@@ -90,13 +140,14 @@ class Shard:
         self.lengths = np.concatenate([np.ones(base, np.int64), np.frombuffer(lengths, "<u4").astype(np.int64)])
         self.symbols, self.marks = np.frombuffer(symbols, "<u2"), np.frombuffer(marks, "<u8").astype(np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
-        table = np.zeros(self.offsets[-1], np.uint16)
-        table[:base] = np.arange(base)
-        for k, (a, b) in enumerate(self.rules.tolist(), base):  # rules name earlier symbols only
-            o, m = self.offsets[k], self.lengths[a]
-            table[o : o + m] = table[self.offsets[a] : self.offsets[a] + m]
-            table[o + m : o + self.lengths[k]] = table[self.offsets[b] : self.offsets[b] + self.lengths[b]]
-        self.table = table
+        self.table = np.zeros(self.offsets[-1], np.uint16)
+        self.table[:base] = np.arange(base)
+        k, latest = 0, self.rules.max(1, initial=0)
+        while k < len(self.rules):  # rules name earlier symbols only: block by block, each of which names none of its own
+            later = np.flatnonzero(latest[k:] >= base + k)
+            stop = k + int(later[0]) if len(later) else len(self.rules)
+            self.table[self.offsets[base + k] : self.offsets[base + stop]] = self.expand(self.rules[k:stop].ravel())
+            k = stop
 
     def expand(self, symbols):
         np = self.np
@@ -131,12 +182,13 @@ def _encode(vocabulary: str | None, end: int, shard_ids: int):
             seq, rules, lengths = repair(np.frombuffer(b"".join(coded), "<u2"), bpe.size)
             size = np.concatenate([np.ones(bpe.size, np.uint64), lengths.astype(np.uint64)])
             before = np.concatenate([[0], np.cumsum(size[seq])]).astype("<u8")[:-1:MARK]
-            values = [part, block, held, bpe.size, np.array([x or 0 for x in names], "<i8").tobytes(), bytes(x is None for x in names), np.array([len(x) // 2 for x in coded], "<u4").tobytes(), rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u2").tobytes(), before.tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
+            known = [x for x in (names[names.count(None)] if names[-1] is not None else None, names[-1]) if x is not None] or [None] * 2
+            values = [part, block, *known, held, bpe.size, np.array([x or 0 for x in names], "<i8").tobytes(), bytes(x is None for x in names), np.array([len(x) // 2 for x in coded], "<u4").tobytes(), rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u2").tobytes(), before.tobytes()]
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.int32(), *[pa.binary()] * 7]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for b in batches:
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for i, text in rows(b, "doc_id", "text"):
                 names.append(i)
                 coded.append(bpe.encode(text) + tail)
                 held += len(coded[-1]) // 2
@@ -151,8 +203,8 @@ def _encode(vocabulary: str | None, end: int, shard_ids: int):
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END, shard_ids: int = SHARD_IDS, shards: int | None = None) -> None:
     """Parts are ranges of (doc_id, hash of the text), so that rows repeating one id are dealt over parts too."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_h", F.xxhash64("text"))
-    parts = rows.repartitionByRange(shards or 2 * partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.col("_h").asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("_h").asc())
+    hashed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_h", F.xxhash64("text"))
+    parts = hashed.repartitionByRange(shards or 2 * partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.col("_h").asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("_h").asc())
     parts.select("doc_id", "text").mapInArrow(_encode(vocabulary, end, shard_ids), SCHEMA).write.mode("overwrite").parquet(path)
 
 
@@ -191,20 +243,27 @@ def document_digests(spark, path: str) -> DataFrame:
 
     files = read_token_files(spark, path)
     starts = _starts(files)
-    rows = files.select("part", "block", "base", "doc_ids", "id_nulls", "n_tokens", "rules", "lengths", "symbols", "marks").mapInArrow(decode, "part int, block int, doc_id long, _in long, n_tokens long, ids_crc32 long")
+    decoded = files.select("part", "block", "base", "doc_ids", "id_nulls", "n_tokens", "rules", "lengths", "symbols", "marks").mapInArrow(decode, "part int, block int, doc_id long, _in long, n_tokens long, ids_crc32 long")
     n_blocks = files.count()
-    return rows.join(small(starts, n_blocks), ["part", "block"]).select("doc_id", (F.col("_start") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
+    return decoded.join(small(starts, n_blocks), ["part", "block"]).select("doc_id", (F.col("_start") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_document(spark, path: str, doc_id: int) -> list[list[int]]:
-    """ids of the documents with this id, decoded from the symbols that cover them."""
-    import numpy as np
+    """ids of the documents with this id. Only shards whose range of ids holds it are read, and only the symbols that cover it are expanded, by the executors."""
 
-    out = []
-    for r in read_token_files(spark, path).filter(F.col("n_ids") > 0).toLocalIterator():
-        names, n = np.frombuffer(r.doc_ids, "<i8"), np.frombuffer(r.n_tokens, "<u4").astype(np.int64)
-        at = np.flatnonzero((names == doc_id) & (np.frombuffer(r.id_nulls, np.uint8) == 0))
-        if len(at):
-            shard, ends = Shard(r.base, r.rules, r.lengths, r.symbols, r.marks), np.cumsum(n)
-            out += [shard.slice(int(ends[k] - n[k]), int(ends[k])).tolist() for k in at]
-    return out
+    def decode(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for r in b.to_pylist():
+                names, n = np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["n_tokens"], "<u4").astype(np.int64)
+                at = np.flatnonzero((names == doc_id) & (np.frombuffer(r["id_nulls"], np.uint8) == 0))
+                if len(at):
+                    shard, ends = Shard(r["base"], r["rules"], r["lengths"], r["symbols"], r["marks"]), np.cumsum(n)
+                    found = [shard.slice(int(ends[k] - n[k]), int(ends[k])).astype(np.int32) for k in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["part"]] * len(at), pa.int32()), pa.array([r["block"]] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["part", "block", "k", "ids"])
+
+    near = read_token_files(spark, path).filter(F.lit(doc_id).between(F.col("first_id"), F.col("last_id")))
+    wanted = near.select("part", "block", "base", "doc_ids", "id_nulls", "n_tokens", "rules", "lengths", "symbols", "marks")
+    return [r.ids for r in wanted.mapInArrow(decode, "part int, block int, k long, ids array<int>").orderBy("part", "block", "k").collect()]
