@@ -291,10 +291,53 @@ def test_nearest_neighbours(spark):
         assert all(abs(v - s[np.flatnonzero(ids == a)[0]]) < 1e-9 for a, v in by[q])
     assert hits >= 0.9 * total
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    again = ann.search(df.repartition(3), F.col("vec_id") % 20 == 0, 20).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     few = ann.search(df.filter("vec_id IN (0, 1, 2)"), F.col("vec_id") % 20 == 0).collect()
     assert [(g.query_id, g["rank"]) for g in sorted(few, key=lambda g: g["rank"])] == [(0, 1), (0, 2)]
 
 
+def test_nearest_neighbours_of_lone_vectors(spark):
+    """Tight groups and a few vectors apart: every query gets k rows, though few lists are probed; one vector that a third of the rows have; small cells."""
+    r = np.random.default_rng(9)
+    centres = r.standard_normal((60, 16)) * 5
+    x = np.concatenate([np.repeat(centres, 21, 0) + 0.01 * r.standard_normal((1260, 16)), r.standard_normal((15, 16)) * 5, np.repeat(centres[:1] + 1, 600, 0)])
+    rows = [(int(i) * 5, v.tolist(), "z") for i, v in zip(r.permutation(len(x)), x)] + [(100, x[0].tolist(), "z")] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
+    m, ids = np.array([v for _, v, _ in rows]), np.array([i for i, _, _ in rows])
+    for cell in (ann.CELL, 50):
+        ann.CELL, old, ann.QUERIES = cell, ann.CELL, 4096 if cell > 50 else 40
+        hits = total = 0
+        by = defaultdict(list)
+        for g in sorted(ann.search(df, F.col("vec_id") % 20 == 0, 20).collect(), key=lambda g: g["rank"]):
+            by[g.query_id].append((g.vec_id, g.score))
+        ann.CELL, ann.QUERIES = old, 4096
+        assert set(by) == {i for i in ids.tolist() if i % 20 == 0} and all(len(v) == 20 for v in by.values())
+        for q, found in by.items():
+            mine = min((m[j].tolist() for j in np.flatnonzero(ids == q)))
+            s = (m * np.array(mine)).sum(1)
+            true = sorted(zip(-s[ids != q], ids[ids != q]))[:20]
+            hits, total = hits + sum((Counter((i, round(-v, 9)) for v, i in true) & Counter((i, round(v, 9)) for i, v in found)).values()), total + 20
+        assert hits >= 0.9 * total
+
+
+def test_recall_on_the_given_embeddings(spark):
+    import pyarrow.parquet as pq
+
+    from treeweave.llm import queries
+
+    t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet", columns=["vec_id", "embedding"])
+    ids, m = np.array(t.column("vec_id")), np.array(t.column("embedding").to_pylist(), float)
+    found = defaultdict(set)
+    for g in queries.op3_nearest_neighbours(spark, "/root/testdata/sf0.01").collect():
+        found[g.query_id].add(g.vec_id)
+    hits = 0
+    for q in (asked := ids[ids % 20 == 0]):
+        s = np.where(ids == q, -np.inf, m @ m[ids == q][0])
+        hits += len(found[q] & set(ids[np.argsort(-s, kind="stable")[:20]].tolist()))
+    assert hits >= 0.9 * 20 * len(asked)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
