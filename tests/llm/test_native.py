@@ -151,7 +151,7 @@ def test_flight_keeps_sums():
     assert len(left) <= 2 and sum(p) == pytest.approx(before[0]) and sum(a * b for a, b in zip(sizes, p)) == pytest.approx(before[1])
 
 
-@pytest.mark.parametrize("block", [8192, 3])
+@pytest.mark.parametrize("block", [32_768, 3])
 def test_topk(spark, block):
     r = random.Random(5)
     rows = [(i, [r.gauss(0, 1) for _ in range(20)]) for i in range(300)]
@@ -168,6 +168,19 @@ def test_topk(spark, block):
     for i, q in asked.items():
         best = sorted((-int(q @ x), j) for j, x in kept if j != i)[:10]
         expected |= {(i, k + 1): (j, -s) for k, (s, j) in enumerate(best)}
-    got = topk.exact_topk(df, F.col("vec_id") % 10 == 0, 10, query_block=block)
+    got = topk.exact_topk(df, F.col("vec_id") % 10 == 0, 10, query_block=block, cell=32_768 if block > 3 else 50)
     assert {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in got.collect()} == expected
     assert topk.exact_topk(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_topk_of_long_vectors(spark):
+    rows = [(0, [70000.0, 70000.0]), (1, [70000.0, 70000.0]), (2, [3e6, -1.0]), (3, [-3e6, 1e-9]), (4, [0.25, 2.0**25]), (100, [0.5, -0.001]), (5, [1e5, 1e5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    grid = {i: [topk.floor(topk.Fraction(x) * 1024) for x in v] for i, v in rows}
+    for asked in (0, 100):
+        got = [(x.vec_id, x.score) for x in topk.exact_topk(df, F.col("vec_id") == asked, 3).orderBy("rank").collect()]
+        want = sorted((-sum(a * b for a, b in zip(grid[asked], v)), i) for i, v in grid.items() if i != asked)[:3]
+        assert got == [(i, -s) for s, i in want]
+    assert (1, 10_276_044_800_000_000) in [(x.vec_id, x.score) for x in topk.exact_topk(df, F.col("vec_id") == 0, 9).collect()]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.exact_topk(df.filter("vec_id <> 5").union(spark.createDataFrame([(6, [0.0, 2.0**60])], df.schema)), F.col("vec_id") == 4, 3).collect()

@@ -1,27 +1,36 @@
 """Exact top-k by inner product: columnar branch-and-bound over blocks of dimensions.
 
-Queries are taken in bounded blocks, each of which meets every candidate once. Candidates lie in vertical layout, a
-row for each dimension. For a tile of candidates, scores grow dimension block by dimension block; what the remaining
+Work cells are (part of the candidates, block of the queries), both bounded, and run on the executors. Candidates lie in
+vertical layout, a row for each dimension. For a tile of candidates, scores grow dimension block by dimension block; what the remaining
 dimensions can still add is at most the product of both vectors' remaining lengths (Cauchy-Schwarz). Pairs whose bound is under
 the query's k-th score so far are gone, and the survivors are compacted before the next dimensions are read.
 
+Scores are exact whole numbers: double precision holds them while lengths keep them under 2**53, then 64-bit integers, and Python's
+integers for vectors of 2**31 or longer. A score among the k best that is outside of 64 bits is an error.
+
 Defined cases: vectors that are null, empty, of another length than most, or hold null or non-finite components take
 no part, nor do rows without an id. A repeated id is one query, with its smallest vector, and one candidate for each of
-its rows, none of them a candidate of its own query. Equal scores rank by smaller id. Scaled components saturate at
-+-2**26, i.e. where |x| >= 65,536. Empty tables give no rows. Other columns are not looked at.
+its rows, none of them a candidate of its own query. Equal scores rank by smaller id. Empty tables give no rows. Other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from fractions import Fraction
+from math import floor
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 8192  #: queries of one pass, broadcast: 4 MB at 64 dimensions
+from .common import Workspace, partitions
+
+QUERY_BLOCK = 32_768  #: queries of a work cell, about: 16 MB at 64 dimensions
+CELL = 32_768  #: candidates of a work cell, about
 TILE = 2048  #: candidates scored together
+TASK = 2048  #: candidates that are worth a task of their own
 DIM_BLOCK = 16
-SATURATE = 2**26
+LONG = 2.0**31  #: products of two shorter vectors fit 64 bits
 
 OUT = "query_id long, vec_id long, score long"
 
@@ -74,23 +83,19 @@ class Tops:
 
 
 def scan(queries, query_ids, tile, ids, tops: Tops, block: int = DIM_BLOCK) -> int:
-    """Scores a tile (dimensions x candidates) against all queries; returns the number of pairs that reached the last dimensions.
-
-    Partial scores are whole numbers in double precision, exact while they stay under 2**53; else 64-bit integers are used.
-    """
+    """Scores a tile (dimensions x candidates), all of whole numbers, against all queries; returns the number of pairs that reached the last dimensions."""
     import numpy as np
 
     d = len(tile)
-    peak = float(np.abs(queries).max(initial=0)) * float(np.abs(tile).max(initial=0)) * d
-    kind = np.float64 if peak < 2**53 else np.int64
-    q, x = queries.astype(kind), tile.astype(kind)
     cuts = [*range(0, d, block), d]
-    # remaining lengths after each block of dimensions, rounded up a little so that bounds stay bounds
-    q_rest = [np.sqrt((queries[:, c:].astype(np.float64) ** 2).sum(1)) * (1 + 1e-9) for c in cuts[1:]]
-    x_rest = [np.sqrt((tile[c:].astype(np.float64) ** 2).sum(0)) * (1 + 1e-9) for c in cuts[1:]]
+    # remaining lengths from each block of dimensions on, rounded up a little so that bounds stay bounds
+    q_rest = [np.sqrt((queries[:, c:] ** 2).sum(1)) * (1 + 1e-9) for c in cuts]
+    x_rest = [np.sqrt((tile[c:] ** 2).sum(0)) * (1 + 1e-9) for c in cuts]
+    kind = np.float64 if q_rest[0].max(initial=0) * x_rest[0].max(initial=0) < 2**53 else np.int64
+    q, x = queries.astype(kind, copy=False), tile.astype(kind, copy=False)
     limit = tops.limit().astype(np.float64)
     part = q[:, : cuts[1]] @ x[: cuts[1]]
-    alive = part + q_rest[0][:, None] * x_rest[0][None, :] >= (limit - np.abs(limit) * 1e-9)[:, None]
+    alive = part + q_rest[1][:, None] * x_rest[1][None, :] >= (limit - np.abs(limit) * 1e-9)[:, None]
     qi, xi = np.nonzero(alive & (query_ids[:, None] != ids[None, :]))
     score = part[qi, xi]
     for b in range(1, len(cuts) - 1):
@@ -104,66 +109,84 @@ def scan(queries, query_ids, tile, ids, tops: Tops, block: int = DIM_BLOCK) -> i
             for s in range(0, len(qi), 1 << 18):
                 add[s : s + (1 << 18)] = np.einsum("ij,ji->i", q[qi[s : s + (1 << 18)], lo:hi], x[lo:hi, xi[s : s + (1 << 18)]])
             score = score + add
-        keep = score + q_rest[b][qi] * x_rest[b][xi] >= (limit - np.abs(limit) * 1e-9)[qi]
+        keep = score + q_rest[b + 1][qi] * x_rest[b + 1][xi] >= (limit - np.abs(limit) * 1e-9)[qi]
         qi, xi, score = qi[keep], xi[keep], score[keep]
     tops.add(qi, score.astype(np.int64), ids[xi])
     return len(qi)
 
 
-def _search(block, k: int):
-    def search(batches: Iterator) -> Iterator:
+def grid(vector, scale: int) -> list[int]:
+    """floor(scale * x) of each component, whatever its size."""
+    return [floor(Fraction(x) * scale) for x in vector]
+
+
+def scan_long(raw_q, query_ids, raw_x, ids, scale: int, tops: Tops) -> None:
+    """All pairs of vectors of which one is LONG or longer, in Python's integers."""
+    import numpy as np
+
+    exact_x = [grid(v, scale) for v in raw_x.tolist()]
+    for at, (name, vector) in enumerate(zip(query_ids.tolist(), raw_q.tolist())):
+        a = grid(vector, scale)
+        found = sorted((-sum(map(mul, a, x)), i) for x, i in zip(exact_x, ids.tolist()) if i != name)[: tops.k]
+        if any(abs(s) >= 2**63 for s, _ in found):
+            raise OverflowError(f"a score of query {name} doesn't fit 64 bits")
+        tops.add(np.full(len(found), at), np.array([-s for s, _ in found], np.int64), np.array([i for _, i in found], np.int64))
+
+
+def _matrix(column):
+    import numpy as np
+
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _search(k: int, scale: int):
+    def search(left, right):
         import numpy as np
         import pyarrow as pa
 
-        query_ids, queries = block.value
-        # longer queries leave looser bounds to nobody else: order does not matter, so tiles come as they are
-        tops = [(s, Tops(len(queries[s : s + 1024]), k)) for s in range(0, len(queries), 1024)]
-        held, n = [], 0
-
-        def run() -> None:
-            ids = np.concatenate([i for i, _ in held])
-            tile = np.ascontiguousarray(np.concatenate([x for _, x in held]).T)
-            for s, top in tops:
-                for c in range(0, len(ids), TILE):
-                    scan(queries[s : s + 1024], query_ids[s : s + 1024], tile[:, c : c + TILE], ids[c : c + TILE], top)
-
-        for b in batches:
-            if b.num_rows:
-                flat = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                held.append((b.column("vec_id").to_numpy(), flat))
-                n += b.num_rows
-            if n >= TILE:
-                run()
-                held, n = [], 0
-        if n:
-            run()
-        for s, top in tops:
-            at, rank = np.nonzero(top.score > top.floor)
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[s + at]), pa.array(top.ids[at, rank]), pa.array(top.score[at, rank])], names=["query_id", "vec_id", "score"])
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            raw_x, ids = _matrix(left.column("v").combine_chunks()), left.column("vec_id").to_numpy()
+            raw_q, names = _matrix(right.column("v").combine_chunks()), right.column("vec_id").to_numpy()
+            with np.errstate(over="ignore"):
+                x, q = np.floor(raw_x * scale), np.floor(raw_q * scale)
+                long_x, long_q = ((m**2).sum(1) >= LONG**2 for m in (x, q))
+            short = np.flatnonzero(~long_x)
+            tile = np.ascontiguousarray(x[short].T)
+            for s in range(0, len(q), 1024):
+                top = Tops(len(q[s : s + 1024]), k)
+                mine, brief = names[s : s + 1024], ~long_q[s : s + 1024]
+                some = Tops(int(brief.sum()), k)
+                for c in range(0, len(short), TILE):
+                    scan(q[s : s + 1024][brief], mine[brief], tile[:, c : c + TILE], ids[short[c : c + TILE]], some)
+                top.score[brief], top.ids[brief] = some.score, some.ids
+                if long_x.any():
+                    scan_long(raw_q[s : s + 1024], mine, raw_x[long_x], ids[long_x], scale, top)
+                if not brief.all():
+                    other = Tops(int((~brief).sum()), k)
+                    scan_long(raw_q[s : s + 1024][~brief], mine[~brief], raw_x, ids, scale, other)
+                    top.score[~brief], top.ids[~brief] = other.score, other.ids
+                at, rank = np.nonzero(top.score > top.floor)
+                for column, values in zip(out, (mine[at], top.ids[at, rank], top.score[at, rank])):
+                    column.append(values)
+        return pa.table({n: pa.array(np.concatenate(c) if c else [], pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out)})
 
     return search
 
 
-def exact_topk(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", vec: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", vec: str = "embedding", query_block: int = QUERY_BLOCK, cell: int = CELL) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the condition `queries` picks, its k highest inner products of floor(scale * x)."""
     spark = vectors.sparkSession
+    work = Workspace(spark, "topk")
     rows = vectors.filter(F.col(vec_id).isNotNull() & usable(vectors, vec))
     d = common_length(rows, vec)
-    grid = F.transform(F.col(vec), lambda x: F.greatest(F.lit(-SATURATE), F.least(F.lit(SATURATE), F.floor(x.cast("double") * scale))).cast("long"))
-    whole = rows.filter(F.size(vec) == d).select(F.col(vec_id).cast("long").alias("vec_id"), grid.alias("q"), queries.alias("_query"))
-    asked = whole.filter("_query").groupBy("vec_id").agg(F.min("q").alias("q"))
-    blocks = max(1, -(-asked.count() // query_block))
-    parts = []
-    for b in range(blocks):  # each pass collects and broadcasts one block: about query_block queries by their hash
-        got = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        if got.num_rows:
-            flat = got.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1)
-            value = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), flat))
-            parts.append(whole.select("vec_id", "q").mapInArrow(_search(value, k), OUT))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+    doubles = F.transform(F.col(vec), lambda x: x.cast("double"))
+    whole = work.write(rows.filter(F.size(vec) == d).select(F.col(vec_id).cast("long").alias("vec_id"), doubles.alias("v"), queries.alias("_query")), "vectors")
+    asked = work.write(whole.filter("_query").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    n, blocks = whole.count(), max(1, -(-asked.count() // query_block))
+    parts = max(1, -(-n // cell), min(partitions(spark), n // TASK))
+    left = whole.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = asked.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    out = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_search(k, scale), OUT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
