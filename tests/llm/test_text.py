@@ -160,15 +160,44 @@ def corpus(seed, n=90):
     return rows + [(2, None), (5, ""), (8, " \n\t"), (11, "one two"), (14, "One  two"), (17, "ONE\x1ftwo")]
 
 
-@pytest.mark.parametrize("seed,cell", [(1, 1000), (2, 4)])
-def test_ngram_join(spark, seed, cell, monkeypatch):
+@pytest.mark.parametrize("seed,cell,entries", [(1, 1000, 8000), (2, 4, 8000), (1, 1000, 20)])
+def test_ngram_join(spark, seed, cell, entries, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL", cell)
+    monkeypatch.setattr(ngram_join, "ENTRIES", entries)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, n long, h string").repartition(5)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.link_components(df).collect()}
     assert got == brute_components(rows)
 
 
+def test_word_hashes():
+    """Equal for equal words only: words of all lengths, words that differ in one byte, and the two that polynomials modulo 2**64 can't tell apart."""
+    import pyarrow as pa
+
+    from treeweave.llm.shingles import _word_hashes
+
+    r = random.Random(9)
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    some = {thue, thue.translate(str.maketrans("ab", "ba")), *("x" * n for n in range(1, 600)), *("é" * n + "y" for n in range(140))}
+    for n in (1, 7, 8, 9, 16, 63, 255, 256, 257, 4000):
+        w = "".join(r.choice("abc") for _ in range(n))
+        some |= {w[:k] + "z" + w[k + 1 :] for k in range(0, n, max(1, n // 20))} | {w}
+    some = sorted(some)
+    got = _word_hashes(pa.array(some))
+    assert len(set(got.tolist())) == len(some)
+    assert _word_hashes(pa.array(["pad", *some]).slice(1)).tolist() == got.tolist() == _word_hashes(pa.array(some, pa.large_string())).tolist()
+    assert len(_word_hashes(pa.array([], pa.string()))) == 0
+
+
+def test_ngram_join_of_one_shingle(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{thue} x"), (2, f"{other} x"), (3, f"x {thue}"), (4, f" X\t{thue} "), (5, "q q q q q"), (6, "q " * 40), (7, "q q q q"), (8, "Q q q q"), (9, " ".join(f"{thue} {i}" for i in range(30))), (10, " ".join(f"{other} {i}" for i in range(30)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.link_components(df).collect()}
+    assert got == brute_components(rows) and got[6] == (1, 5) and got[8] == (1, 7) and got[10][1] == 10
+
+
 def test_ngram_join_edge_cases(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (9, "a b c d e f"), (4, "z")], "doc_id long, text string")
     got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.link_components(df).collect())

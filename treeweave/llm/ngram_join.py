@@ -36,7 +36,8 @@ FLUSH = 400_000  #: prefix shingles that a task of the screen holds
 BATCH = 400_000  #: shingles of a written batch of representatives
 MOST = 64  #: longest l
 VERIFY = 20.0  #: cost of a verification against that of reading a prefix entry
-CELL = 1000  #: documents of a side of a cell
+CELL = 1000  #: documents of a side of a cell, about
+ENTRIES = 8000  #: prefix entries of a side of a cell, about
 
 
 def need(n):
@@ -164,16 +165,20 @@ def _sets(words: int):
         import numpy as np
         import pyarrow as pa
 
-        from .shingles import mix, shingle_sets
+        from .shingles import mix, one_shingle_names, shingle_sets
 
         for b in batches:
             got = list(shingle_sets(b.column("text"), words))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in got])])
             h = np.concatenate(got) if got else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
-            # a set's 128-bit name: sums of two hashes of its shingles
-            one, two = (pa.array(np.array([mix(s, f).sum() for s in got], np.uint64).view(np.int64)) for f in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(ends), pa.int64()), one, two, lists], names=["doc_id", "n", "c1", "c2", "s"])
+            # a set's 128-bit name: sums of two hashes of its shingles; of a single shingle one of its words
+            one, two = (np.array([mix(s, f).sum() for s in got], np.uint64).view(np.int64) for f in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
+            single = np.flatnonzero(np.diff(ends) == 1)
+            if len(single):
+                names = np.frombuffer(b"".join(one_shingle_names(b.column("text").take(pa.array(single)), words)), np.int64).reshape(-1, 2)
+                one[single], two[single] = names[:, 0], names[:, 1]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(one), pa.array(two), lists], names=["doc_id", "n", "c1", "c2", "s"])
         release()
 
     return sets
@@ -410,7 +415,8 @@ def _link_texts(texts: DataFrame, words: int) -> DataFrame:
     n_classes = classes.count()
     copies = one.join(small(classes, n_classes), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     mine = classes.withColumnRenamed("rep", "doc_id")
-    reps = sets.join(small(mine, n_classes), ["doc_id", *key], "left_semi")
+    # a set of one shingle links with equal sets only, which are its class
+    reps = sets.filter("n > 1").join(small(mine, n_classes), ["doc_id", *key], "left_semi")
     reps = work.write(reps.select("doc_id", "n", "s"), "reps")
 
     packed = work.write(reps.select("doc_id", "s").mapInArrow(_batches, "batch long, d binary, n binary, h binary"), "batches")
@@ -430,8 +436,9 @@ def _link_texts(texts: DataFrame, words: int) -> DataFrame:
     known = known.withColumns({"label": F.coalesce("label", "doc"), "overlap": F.when(F.col("doc") == F.col("hub"), F.col("n")).otherwise(F.coalesce("overlap", F.lit(-1)))})
     own = labels.select(F.col("doc").alias("hub"), F.col("label").alias("hub_label"))
     known = work.write(known.join(own, "hub", "left").withColumn("other", (F.col("label") != F.coalesce("hub_label", "hub")).cast("int")).drop("hub_label"), "known")
-    sizes = known.groupBy("hub").agg(F.count_distinct(F.when(F.col("other") == 1, F.col("doc"))).alias("far"), F.count_distinct(F.when(F.col("other") == 0, F.col("doc"))).alias("near")).filter("far > 0")
-    blocks = sizes.select("hub", F.ceil(F.col("far") / CELL).cast("int").alias("fs"), F.greatest(F.lit(1), F.ceil(F.col("near") / CELL)).cast("int").alias("ns"))
+    held = known.groupBy("hub", "doc", "other").agg(F.count("*").alias("k")).groupBy("hub", "other").agg(F.count("*").alias("docs"), F.sum("k").alias("k"))
+    held = held.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / CELL), F.ceil(F.col("k") / ENTRIES)).cast("int"))
+    blocks = held.groupBy("hub").agg(F.max(F.when(F.col("other") == 1, F.col("blocks"))).alias("fs"), F.coalesce(F.max(F.when(F.col("other") == 0, F.col("blocks"))), F.lit(1)).alias("ns")).filter("fs > 0")
     n_hubs = blocks.count()
     placed = known.join(small(blocks, n_hubs), "hub")
     block = F.pmod(F.xxhash64("doc"), F.when(F.col("other") == 1, F.col("fs")).otherwise(F.col("ns"))).cast("int")
