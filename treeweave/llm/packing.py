@@ -3,7 +3,7 @@
 Every partition packs its pieces by best-fit decreasing and gets a lower bound from dual feasible functions. A
 partition whose count meets the bound is certified. The others give the pieces of their unfilled bins, and certified ones
 those of their emptiest bin, into an exchange; the exchanged pieces are dealt anew to fewer partitions and packed again,
-until the whole meets the bound of all lengths together or nothing improves. Filled bins never move again.
+until the whole meets the bound of all lengths together or a round saves no bin, which is then not used. Filled bins never move again.
 
 Defined cases: a null or empty text is the one id that ends a document; repeated rows, and null ids, are documents of
 their own; an empty table gives no rows. Very long texts are cut into full pieces, the first of which takes the rest.
@@ -22,7 +22,7 @@ from .common import Workspace, codec, rows
 CAPACITY = 2048
 END = 0
 BINS = 4096  #: sequences that a partition packs, about
-ROUNDS = 8
+ROWS = 500_000  #: pieces that a partition packs, about
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -119,7 +119,7 @@ def _pack(capacity: int, level: int):
         filled = np.array(fill)
         open_ = filled < capacity if len(fill) > bound else np.arange(len(fill)) == int(filled.argmin())
         open_ &= filled < capacity
-        names = pa.array((level << 56) + (int(key[0].as_py()) << 24) + np.array(bins, np.int64))
+        names = pa.array((level << 53) + (int(key[0].as_py()) << 24) + np.array(bins, np.int64))
         extra = {"sequence_id": names, "offset": pa.array(offsets, pa.int64()), "_open": pa.array(open_[bins]), "_gap": pa.array(np.full(len(t), len(fill) - bound))}
         for name, x in extra.items():
             t = t.append_column(name, x)
@@ -128,7 +128,7 @@ def _pack(capacity: int, level: int):
     return pack
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, bins: int = BINS, rounds: int = ROUNDS) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, bins: int = BINS, most: int = ROWS) -> DataFrame:
     """parts (one row for each piece; length in 1..capacity) with sequence_id and offset."""
     spark = parts.sparkSession
     work = Workspace(spark, "pack")
@@ -136,20 +136,23 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, bins: int = BINS, rounds: i
     pool = work.write(parts.withColumn("_h", F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id())), "pieces")
     by_length = {r.length: r.n for r in pool.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     target = lower_bound([by_length.get(n, 0) for n in range(capacity + 1)], capacity)
-    tokens, closed, made = sum(n * c for n, c in by_length.items()), [], 0
-    for level in range(rounds):
-        groups = max(1, round(tokens / (capacity * bins)))
+    tokens, count, closed, made, level, before, held = sum(n * c for n, c in by_length.items()), sum(by_length.values()), [], 0, 0, None, None
+    while True:  # every round but the last saves a bin
+        groups = max(1, round(tokens / (capacity * bins)), -(-count // most))
         dealt = pool.withColumn("_part", F.pmod(F.xxhash64(F.lit(level), "_h"), F.lit(groups)))
         schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in dealt.schema)}, sequence_id long, offset long, _open boolean, _gap long"
         packed = work.write(dealt.groupBy("_part").applyInArrow(_pack(capacity, level), schema), f"round{level}")
-        n = packed.agg(F.count_distinct("sequence_id").alias("all"), F.count_distinct(F.when(F.col("_open"), F.col("sequence_id"))).alias("open"), F.coalesce(F.sum(F.when(F.col("_open"), F.col("length"))), F.lit(0)).alias("tokens")).first()
+        n = packed.agg(F.count_distinct("sequence_id").alias("all"), F.count_distinct(F.when(F.col("_open"), F.col("sequence_id"))).alias("open"), F.coalesce(F.sum(F.when(F.col("_open"), F.col("length"))), F.lit(0)).alias("tokens"), F.count_if("_open").alias("count")).first()
+        if before is not None and n["all"] >= before:
+            closed.append(held)
+            break
         # every bin closed so far stays; the open ones go on only if their pieces could need fewer bins elsewhere
-        if groups == 1 or level == rounds - 1 or made + n["all"] <= target or n.open <= -(-n.tokens // capacity):
+        if groups == 1 or made + n["all"] <= target or n.open <= -(-n.tokens // capacity):
             closed.append(packed)
             break
         closed.append(packed.filter(~F.col("_open")))
-        made, tokens = made + n["all"] - n.open, n.tokens
-        pool = packed.filter("_open").select(*names, "_h")
+        made, tokens, count, before, held, level = made + n["all"] - n.open, n.tokens, n["count"], n.open, packed.filter("_open"), level + 1
+        pool = held.select(*names, "_h")
     out = closed[0]
     for more in closed[1:]:
         out = out.unionByName(more)
