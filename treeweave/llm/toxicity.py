@@ -5,8 +5,8 @@ punctuation into spaces. Lexicon entries are whole words or word beginnings; bot
 Exception phrases (an entry with the word before or behind it) take the hits in them back, each hit once however many phrases
 it is in. A document's score is a logistic function of its summed weights, as such and by length.
 
-fit() reads at most about SAMPLE labelled documents, picked by a hash: a documented bound; frequencies are counted on
-the executors and the lexicon has at most ENTRIES candidates. Labels, language, source and id are no inputs of a score.
+fit() reads at most about SAMPLE labelled documents, picked by a hash: a documented bound, from which follows what it
+brings to the driver. Frequencies are counted on the executors. Labels, language, source and id are no inputs of a score.
 
 Defined cases: null and empty texts get the score of no hit; very long texts are scanned whole; repeated rows each get
 their row; an empty table gives no rows; a label that is null is none, and a document labelled twice is toxic if one
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import Workspace, release
 
 SAMPLE = 12_000
-ENTRIES = 3000  #: most candidate entries, those in most toxic documents first
 STEM = (3, 10)  #: lengths of word beginnings, from and under
 LEAST = 4  #: toxic documents that an entry must be in
 CHANCE = 0.02  #: expected number of entries that pass the test by chance
@@ -251,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, sample: int = SAMPLE) ->
     rare = F.col("other") / F.lit(neg) <= 0.1 * F.col("toxic") / F.lit(pos)
     counts = work.write(counts, "counts")
     tests = counts.filter(F.col("toxic") + F.col("other") >= LEAST).count()
-    names = [r.entry for r in counts.filter((F.col("toxic") >= LEAST) & rare).orderBy(F.desc("toxic"), "entry").limit(ENTRIES).collect()]  # ENTRIES is a bound of the model, not of what is scored
+    names = [r.entry for r in counts.filter((F.col("toxic") >= LEAST) & rare).orderBy(F.desc("toxic"), "entry").collect()]  # at most the words and beginnings that LEAST of the sample's toxic documents have
     numbers = {x: k for k, x in enumerate(names)}
 
     def matches(batches: Iterator) -> Iterator:
@@ -282,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, sample: int = SAMPLE) ->
     if chosen:
         around = rows.mapInArrow(phrases, "phrase string, toxic long, other long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         clean = (1 - PURITY) * F.col("other") / F.lit(neg) > PURITY * F.col("toxic") / F.lit(pos)  # with both kinds weighed as if equally many
-        harmless = around.filter((F.col("other") >= 3) & clean).orderBy(F.desc("other"), "phrase").limit(ENTRIES).collect()
+        harmless = around.filter((F.col("other") >= 3) & clean).collect()  # as above, of the sample's clean documents
         draft.exceptions = {r.phrase for r in harmless}
 
     def features(batches: Iterator) -> Iterator:
