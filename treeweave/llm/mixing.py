@@ -5,11 +5,12 @@ once more with the fractional rest as its inclusion probability. The cube method
 flight phase moves them along the null space of the constraints (the number of documents and the number of tokens),
 three documents at a time, until at most two of a group are undecided. Groups are bounded chunks of a source; what
 they leave undecided meets in further rounds. The landing of the last few documents, which a source keeps from all sizes,
-tries all their subsets.
+tries all their subsets and takes the one nearest to what is expected: these LANDING documents of a source are settled by that, not at random.
 
 Defined cases: null or empty texts have size 0 and take 0 words; a null source is a source, last in the order; a
 source of size 0 has target 0; repeated rows are documents of their own; an empty table gives no rows. The random
-choices come from hashes of source, chunk and seed: reruns agree. Other columns are not looked at.
+choices come from hashes of source, chunk and seed, and rows that agree in doc_id, source and text are numbered among themselves: reruns
+agree, however the files are split. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, n_words, small
+from .common import Workspace, n_words, partitions, small
 
 LANDING = 13  #: documents of all sizes that a source keeps for the landing, besides what the flight leaves
 CHUNK = 20_000  #: documents that one task settles at a time
+COPIES = 65_536  #: repeated rows that one task writes out at a time
 EPS = 1e-9
 
 
@@ -97,6 +99,19 @@ def _settle(last: bool, seed: int):
     return settle
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with _row, 0, 1, ... among equal ones. Equal rows are counted on both sides of the shuffle and made again from their number, so a row that
+    repeats without end is no single task's."""
+    names = rows.columns
+    kinds = rows.groupBy(*names).agg(F.count("*").alias("_k"))
+    long = F.lit(0).cast("long")
+    few = kinds.filter(F.col("_k") <= COPIES).select(*names, F.explode(F.sequence(long, F.col("_k") - 1)).alias("_row"))
+    many = kinds.filter(F.col("_k") > COPIES).withColumn("_block", F.explode(F.sequence(long, F.floor((F.col("_k") - 1) / COPIES))))
+    many = many.repartition(partitions(rows.sparkSession), "_order", "_block")
+    inside = F.sequence(F.col("_block") * COPIES, F.least((F.col("_block") + 1) * COPIES, F.col("_k")) - 1)
+    return few.unionByName(many.select(*names, F.explode(inside).alias("_row")))
+
+
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
     """_source, source_size, n, target. Targets follow the weights and stop at most * source_size; the excess is dealt out again by weight.
 
@@ -117,10 +132,10 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 7, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, source, size, source_size, target, times, taken for each row, with _order, a hash of its content, and _row, its number."""
+    """doc_id, source, size, source_size, target, times, taken for each row, with _order, a hash of its content, and _row, its number among equal rows."""
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
-    sizes = work.write(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _order(seed).alias("_order")).withColumn("_row", F.monotonically_increasing_id()), "sizes")
+    sizes = work.write(numbered(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _order(seed).alias("_order"))), "sizes")
     targets = work.write(source_targets(sizes, weights, share, most).coalesce(1), "targets")
     n_sources, most_rows = targets.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -154,11 +169,10 @@ def mixed_documents(docs: DataFrame, weights: list[float], share: float = 1.5, m
     """docs' rows as often as the mix takes them.
 
     Rows that agree in doc_id, source and text are the same to the mix; such repeated rows are merged before their
-    copies are made, with the merging done on each side of the shuffle.
+    copies are made, with the merging done on each side of the shuffle. All columns are kept, whatever their names.
     """
-    columns = docs.columns
-    taken = mix(docs, weights, share, most, seed).groupBy(F.col("doc_id").alias("_id"), F.col("_order").alias("_o")).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
-    rows = docs.withColumn("_order", _order(seed))
-    rows = rows.join(taken.filter("_times > 0"), (rows["_order"] == F.col("_o")) & rows["doc_id"].eqNullSafe(F.col("_id")))
-    once = rows.filter("_rows = 1").unionByName(rows.filter("_rows > 1").dropDuplicates(["doc_id", "_order"]))
-    return once.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select(*columns)
+    taken = mix(docs, weights, share, most, seed).groupBy("doc_id", "_order").agg(F.sum("times").alias("times"), F.count("*").alias("n")).filter("times > 0")
+    rows = docs.select("doc_id", _order(seed).alias("_order"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("r")
+    rows = rows.join(taken.alias("t"), (F.col("r._order") == F.col("t._order")) & F.col("r.doc_id").eqNullSafe(F.col("t.doc_id"))).select("r.*", "times", "n")
+    once = rows.filter("n = 1").unionByName(rows.filter("n > 1").dropDuplicates(["doc_id", "_order"]))
+    return once.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
