@@ -56,12 +56,12 @@ def probe(keys: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
 
 
 def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All host suffixes at label bounds, each with all prefixes of the path that have a listed length."""
+    """All host suffixes at label bounds, each with all prefixes of the path that have a listed length; "#", which neither has, stands between."""
     labels = F.split(host, r"\.", -1)
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     paths = F.transform(cuts, lambda n: F.substring(path, F.lit(1), n))
-    return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
+    return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("#"), p)))))
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow", bits_per_key: int = 16) -> DataFrame:
@@ -70,7 +70,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default:
     Candidates are made once for each distinct host and path, so that a hot page or host is looked up once. The list
     is broadcast only after it has been counted; else both joins shuffle, where AQE splits hot keys.
     """
-    entries = listed.select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), "verdict").groupBy("key", "n").agg(F.max("verdict").alias("verdict"))
+    entries = listed.select(F.concat("host", F.lit("#"), "path").alias("key"), F.length("path").alias("n"), "verdict").groupBy("key", "n").agg(F.max("verdict").alias("verdict"))
     found = entries.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("n")).alias("lengths")).first()  # lengths: at most as many as a URL has characters
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     if not found.n:
@@ -78,7 +78,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default:
     bloom, blocks = build_filter(entries.select("key"), found.n, bits_per_key)
     keys = parts.select("host", "path").distinct().select("host", "path", F.explode(candidate_keys(F.col("host"), F.col("path"), found.lengths)).alias("key"))
     exact = probe(keys, bloom, blocks).join(small(entries.select("key", "verdict"), found.n), "key")
-    best = exact.groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.length("key")).alias("best"))
-    best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.key").alias("_rule"), F.col("best.verdict").alias("_verdict"))
-    out = parts.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
-    return out.withColumns({"rule": F.col("_rule"), "verdict": F.coalesce(F.col("_verdict"), F.lit(default))}).drop("_h", "_p", "_rule", "_verdict")
+    # the longest rule; of equally long ones that with the longer host
+    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.instr("key", "#").alias("h"), "key", "verdict")).alias("best"))
+    out = parts.alias("p").join(best.alias("b"), (F.col("p.host") == F.col("b.host")) & (F.col("p.path") == F.col("b.path")), "left")
+    judged = {"rule": F.replace(F.col("b.best.key"), F.lit("#"), F.lit("")), "verdict": F.coalesce(F.col("b.best.verdict"), F.lit(default))}
+    return out.select(*[F.col(f"p.`{c}`") for c in parts.columns if c not in judged], *[v.alias(c) for c, v in judged.items()])
