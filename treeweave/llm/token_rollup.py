@@ -67,8 +67,8 @@ def _summed(deltas: DataFrame) -> DataFrame:
 class TokenRollup:
     """Committed batches under `path`, a folder that all executors share.
 
-    A batch is written to a staging folder and then renamed to batch-<id>: it is seen whole or not at all. One writer
-    at a time.
+    A batch is written to a staging folder and then renamed to batch-<id>: it is seen whole or not at all where renaming a folder is one
+    step, as in HDFS or a local file system (in most object stores it isn't). One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -78,14 +78,21 @@ class TokenRollup:
         self._fs = self._at("x").getFileSystem(self._conf)
         self._fs.mkdirs(jvm.org.apache.hadoop.fs.Path(self.path))
 
+    def _found(self) -> tuple[list[str], list[str], list[str]]:
+        """Folders that count, ids of the batches that the latest folded one of them replaces, and folders so replaced that are still there."""
+        names = sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(self._at(".")) if s.isDirectory()) if n.startswith("batch-"))
+        folded = sorted((n for n in names if n.startswith("batch-+")), key=lambda n: int(n[7:]))
+        ids = [r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.path}/{folded[-1]}/ids").collect()] if folded else []
+        replaced = {f"batch-{i}" for i in ids} | set(folded[:-1])
+        return [n for n in names if n not in replaced], ids, [n for n in names if n in replaced]
+
     def _names(self) -> list[str]:
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._at(".")) if s.isDirectory()]
-        return sorted(n for n in found if n.startswith("batch-"))
+        return self._found()[0]
 
     def batches(self) -> list[str]:
         """Ids of committed batches; those folded by compact() included."""
-        folded = [r.batch for n in self._names() if n.startswith("batch-+") for r in self.spark.read.schema("batch string").parquet(f"{self.path}/{n}/ids").collect()]
-        return sorted({n[6:] for n in self._names() if not n.startswith("batch-+")} | set(folded))
+        names, ids, _ = self._found()
+        return sorted({n[6:] for n in names if not n.startswith("batch-+")} | set(ids))
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """False, and nothing is changed, if the batch had been committed before."""
@@ -95,7 +102,12 @@ class TokenRollup:
             return False
         self._fs.delete(self._at(f"staging-{batch}"), True)
         _summed(deltas).write.parquet(f"{self.path}/staging-{batch}/deltas")
-        return bool(self._fs.rename(self._at(f"staging-{batch}"), self._at(f"batch-{batch}")))
+        self._rename(f"staging-{batch}", f"batch-{batch}")
+        return True
+
+    def _rename(self, old: str, new: str) -> None:
+        if not self._fs.rename(self._at(old), self._at(new)):
+            raise OSError(f"{self.path}/{old} could not be renamed to {new}")
 
     def _deltas(self) -> DataFrame:
         names = self._names()
@@ -107,14 +119,16 @@ class TokenRollup:
         return _summed(self._deltas()).filter("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """Folds all batches into one; the ids stay known. An interrupted call leaves the batches as they were."""
-        names, ids = self._names(), self.batches()
+        """Folds all batches into one; the ids stay known. The folded batch names those that it replaces, so from its rename on they no longer
+        count, and an interrupted call leaves either the batches or the folded one; the next call deletes what is left over."""
+        names, _, gone = self._found()
+        ids = self.batches()
         name = f"+{len(ids)}"
-        if names == [f"batch-{name}"]:
-            return
-        self._fs.delete(self._at(f"staging-{name}"), True)
-        self.totals().write.parquet(f"{self.path}/staging-{name}/deltas")
-        self.spark.createDataFrame([(i,) for i in ids], "batch string").coalesce(1).write.parquet(f"{self.path}/staging-{name}/ids")
-        for n in names:
+        if names and names != [f"batch-{name}"]:
+            self._fs.delete(self._at(f"staging-{name}"), True)
+            self.totals().write.parquet(f"{self.path}/staging-{name}/deltas")
+            self.spark.createDataFrame([(i,) for i in ids], "batch string").coalesce(1).write.parquet(f"{self.path}/staging-{name}/ids")
+            self._rename(f"staging-{name}", f"batch-{name}")
+            gone = gone + names
+        for n in gone:
             self._fs.delete(self._at(n), True)
-        self._fs.rename(self._at(f"staging-{name}"), self._at(f"batch-{name}"))
