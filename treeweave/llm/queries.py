@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import ann, mixing, ngram_join, packing, sharding, token_files, token_rollup, topk, toxicity, url_filter
 from .common import Workspace, table
 
-SHARD_BYTES = 64 << 20
+SHARD_LIMITS = (64 << 20, 64 << 10)  #: bytes of a shard: of a training run, and of a unit of work
 WEIGHTS = [3.0, 1.0, 2.0]
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -117,7 +117,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+    """The shard of each document for either limit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coarse, fine = (sharding.assign_shards(docs, n).select(F.lit(n).cast("long").alias("limit_bytes"), "*") for n in SHARD_LIMITS)
+    return coarse.unionByName(fine)
 
 
 OP10_SQL = f"""
@@ -125,12 +128,13 @@ WITH t AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
          lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)), 60, '0') AS bits
   FROM documents),
+l(limit_bytes) AS (VALUES {', '.join(f'({n})' for n in SHARD_LIMITS)}),
 b AS (
-  SELECT d, substr(bits, 1, d) AS shard FROM t, generate_series(0, 24) AS g(d)
-  GROUP BY d, substr(bits, 1, d) HAVING sum(n_bytes) <= {SHARD_BYTES} OR count(*) = 1)
-SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(length(shard) AS INTEGER) AS depth, shard
-FROM (SELECT t.doc_id, t.n_bytes, min_by(b.shard, b.d) AS shard FROM (SELECT row_number() OVER () AS r, * FROM t) t
-      JOIN b ON b.shard = substr(t.bits, 1, b.d) GROUP BY t.r, t.doc_id, t.n_bytes)
+  SELECT limit_bytes, d, substr(bits, 1, d) AS shard FROM t, generate_series(0, 24) AS g(d), l
+  GROUP BY limit_bytes, d, substr(bits, 1, d) HAVING sum(n_bytes) <= limit_bytes OR count(*) = 1)
+SELECT CAST(limit_bytes AS BIGINT) AS limit_bytes, doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(length(shard) AS INTEGER) AS depth, shard
+FROM (SELECT b.limit_bytes, t.doc_id, t.n_bytes, min_by(b.shard, b.d) AS shard FROM (SELECT row_number() OVER () AS r, * FROM t) t
+      JOIN b ON b.shard = substr(t.bits, 1, b.d) GROUP BY b.limit_bytes, t.r, t.doc_id, t.n_bytes)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_nearest_neighbours, op4_ngram_join, op5_best_fit_packing, op6_toxicity, op7_mixing, op8_token_files, op9_exact_topk, op10_sharding)}

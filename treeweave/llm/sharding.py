@@ -25,8 +25,8 @@ def key_bits(key: Column) -> Column:
     return F.lpad(digits, BITS, "0")
 
 
-def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", ahead: int = 4) -> DataFrame:
-    """key, n_bytes, depth, shard (its hash prefix, of depth bits) for each row.
+def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", ahead: int = 4, number: str | None = None) -> DataFrame:
+    """key, n_bytes, depth, shard (its hash prefix, of depth bits) for each row; with number, a column that numbers the rows, it too.
 
     The texts are read once; the passes below go over the written sizes. A pass sums the rows left by the prefix that
     the total calls for, plus `ahead` bits; sums of shorter prefixes come from these sums. Buckets that are still
@@ -34,8 +34,9 @@ def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     work = Workspace(spark, "shards")
-    bits = F.concat(key_bits(F.col(key)), key_bits(F.monotonically_increasing_id()))
-    left = work.write(docs.select(F.col(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), bits.alias("_bits")), "sizes")
+    bits = F.concat(key_bits(F.col(key)), key_bits(F.col(number) if number else F.monotonically_increasing_id()))
+    kept = [key, number] if number else [key]
+    left = work.write(docs.select(*kept, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), bits.alias("_bits")), "sizes")
     total = left.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     out, done, step = [], 0, 0
     while True:
@@ -48,10 +49,10 @@ def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str =
         directory = work.write(ways.join(fits, ["_d", "_shard"], "left_semi").groupBy("_cell").agg(F.min("_d").alias("depth")), f"directory{step}")
         n_cells = directory.count()
         joined = left.withColumn("_cell", F.substring("_bits", 1, depth)).join(small(directory, n_cells), "_cell", "left")
-        out.append(joined.filter("depth IS NOT NULL").select(key, "n_bytes", "depth", F.substring("_bits", F.lit(1), F.col("depth")).alias("shard")))
+        out.append(joined.filter("depth IS NOT NULL").select(*kept, "n_bytes", "depth", F.substring("_bits", F.lit(1), F.col("depth")).alias("shard")))
         if cells.join(small(directory, n_cells), "_cell", "left_anti").isEmpty():
             break
-        left = work.write(joined.filter("depth IS NULL").select(key, "n_bytes", "_bits"), f"left{step}")
+        left = work.write(joined.filter("depth IS NULL").select(*kept, "n_bytes", "_bits"), f"left{step}")
         total = left.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
         done, step = depth + 1, step + 1
     result = out[0]
@@ -61,8 +62,19 @@ def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str =
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes docs as one folder for each shard; returns the assignment. Keys must be unique here."""
-    shards = assign_shards(docs, limit, key, text)
-    named = shards.select(F.col(key), F.concat(F.lit("b"), "shard").alias("shard"))
-    docs.join(named, key).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return shards
+    """Writes every row of docs into one folder for each shard, b<prefix> of the column shard (with as many _ behind it as docs' own columns call for);
+    returns the assignment. The rows are numbered and written once before, so that null and repeated keys find their own shard."""
+    work = Workspace(docs.sparkSession, "shard-rows")
+    number, column = (_free(name, docs.columns) for name in ("_row", "shard"))
+    rows = work.write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    shards = work.write(assign_shards(rows, limit, key, text, number=number), "shards")
+    named = shards.select(F.col(number).alias("n"), F.concat(F.lit("b"), "shard").alias("s"))
+    out = rows.alias("r").join(named.alias("s"), F.col(f"r.{number}") == F.col("s.n")).select(*[F.col(f"r.`{c}`") for c in docs.columns], F.col("s.s").alias(column))
+    out.repartition(column).write.mode("overwrite").partitionBy(column).parquet(path)
+    return shards.drop(number)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
