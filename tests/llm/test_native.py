@@ -41,6 +41,41 @@ def test_rollup(spark):
     assert [x.n_tokens for x in token_rollup.bpe_counts(docs(spark, rows).filter("doc_id < 3")).orderBy("doc_id").collect()] == [4, 0]
 
 
+def test_compaction_that_is_interrupted(spark, monkeypatch):
+    work = Workspace(spark, "t")
+    r = token_rollup.TokenRollup(spark, f"{work.path}/r")
+    counts = docs(spark, [(1, "a b", "en", "s", 2), (2, "c", "en", "s", 1)])
+    r.commit("b1", token_rollup.inserts(counts, "words@1", "n_chars"))
+    r.commit("b2", token_rollup.inserts(counts, "words@1", "n_chars"))
+    state = lambda: ([tuple(x) for x in r.totals().collect()], r.batches())
+    before = state()
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup.TokenRollup, "_rename", lambda self, a, b: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            r.compact()
+        with pytest.raises(OSError):
+            r.commit("b3", token_rollup.inserts(counts, "words@1", "n_chars"))
+    assert state() == before == ([("s", "en", "words@1", 4, 6)], ["b1", "b2"])
+    fs = r._fs
+
+    class Stuck:
+        def __getattr__(self, name):
+            return getattr(fs, name)
+
+        def delete(self, path, deep):
+            if "batch-" in path.getName():
+                raise OSError("lost")
+            return fs.delete(path, deep)
+
+    r._fs = Stuck()
+    with pytest.raises(OSError):
+        r.compact()
+    r._fs = fs
+    assert state() == before and not r.commit("b1", token_rollup.inserts(counts, "words@1", "n_chars"))
+    r.compact()
+    assert state() == before and [n for n in (p.getPath().getName() for p in fs.listStatus(r._at("."))) if n.startswith("batch")] == ["batch-+2"]
+
+
 def judge(url, rules, default):
     host, path = "", ""
     if url and "://" in url:
@@ -66,6 +101,14 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_urls_of_like_rules(spark):
+    """A rule is a host and a path, not their concatenation; equally long rules; columns with the names used inside."""
+    listed = spark.createDataFrame([("a.b", "c.net", "block"), ("x.y", "", "allow"), ("org", "/abcd", "block"), ("abc.org", "/", "allow")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.bc.net", 5, 6, 7), (2, "http://abc.org/abcd", 5, 6, 7), (3, None, 5, 6, 7)], "_rule long, url string, _h long, _p long, _verdict long")
+    got = {x["_rule"]: (x.rule, x.verdict, x["_h"], x["_verdict"]) for x in url_filter.filter_urls(pages, listed).collect()}
+    assert got == {1: (None, "allow", 5, 7), 2: ("abc.org/", "allow", 5, 7), 3: (None, "allow", 5, 7)}
+
+
 def test_bloom_loses_nothing_and_passes_little(spark):
     keys = spark.range(4000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = keys.limit(2000)
@@ -101,6 +144,21 @@ def test_shards(spark):
     assert {x.shard for x in sharding.assign_shards(df, 10**9).collect()} == {""}
 
 
+def test_written_shards(spark, tmp_path):
+    rows = [(None, "n", 0), (7, "x" * 900, 1), (7, "x" * 900, 2), (8, "y" * 500, 3), (None, None, 4), (9, "é" * 400, 5)] + [(i, "z" * 90, i) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    shards = sharding.write_shards(df, f"{tmp_path}/out", 1000)
+    assert shards.columns == ["doc_id", "n_bytes", "depth", "shard"]
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert Counter((x.doc_id, x.text, x.shard) for x in out) == Counter(rows)
+    held = defaultdict(list)
+    for x in out:
+        held[x.shard_].append((x.doc_id, len((x.text or "").encode())))
+    assert {(k[1:], i) for k, v in held.items() for i, _ in v} == {(x.shard, x.doc_id) for x in shards.collect()}
+    assert all(sum(n for _, n in v) <= 1000 or len(v) == 1 for v in held.values()) and len(held) > 5
+    assert sharding.assign_shards(df.limit(0), 10).count() == 0
+
+
 def fill(sizes, weights, share, most):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -142,6 +200,24 @@ def test_mix(spark, chunk):
     assert mixing.mix(df.limit(0), [1.0]).count() == 0 == mixing.mixed_documents(df.limit(0), [1.0]).count()
 
 
+def test_mix_is_the_same_for_other_splits(spark):
+    """Repeated rows beyond a chunk, other partitions, and columns with the names used inside."""
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.randrange(1, 60)), "a", i, 0, 0, 0) for i in range(300)] + [(1, "one two three", "a", 0, 0, 0, 0)] * 200 + [(2, "one two", "b", 0, 0, 0, 0)] * 30
+    schema = "doc_id long, text string, source string, _order long, _times long, _rows long, _id long"
+    bags = []
+    for n in (1, 7):
+        df = spark.createDataFrame(r.sample(rows, len(rows)), schema).repartition(n)
+        mixing.COPIES, old = 64, mixing.COPIES
+        out = mixing.mix(df.select("doc_id", "text", "source"), [3.0, 1.0], chunk=40).collect()
+        mixing.COPIES = old
+        assert len(out) == len(rows)
+        copies = mixing.mixed_documents(df, [3.0, 1.0])
+        assert copies.columns == df.columns and all(x["_order"] == x.doc_id or x.doc_id in (1, 2) for x in copies.collect())
+        bags.append((Counter((x.doc_id, x.size, x.taken) for x in out), Counter(x.doc_id for x in copies.collect())))
+    assert bags[0] == bags[1]
+
+
 def test_flight_keeps_sums():
     r = random.Random(4)
     sizes = [r.randrange(1, 400) for _ in range(300)]

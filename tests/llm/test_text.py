@@ -66,6 +66,19 @@ def test_packing(spark, library):
     assert packing.cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
 
 
+def test_packing_bounds_rows(spark):
+    """A task packs a bounded number of pieces, however short they are; all are there once, without gaps."""
+    df = spark.createDataFrame([(i, None if i % 2 else "a b") for i in range(1500)], "doc_id long, text string")
+    out = packing.pack(packing.pieces(df), most=200).collect()
+    assert Counter((x.doc_id, x.length) for x in out) == Counter((i, 1 if i % 2 else 3) for i in range(1500))
+    held = defaultdict(list)
+    for x in out:
+        held[x.sequence_id].append((x.offset, x.length))
+    for v in held.values():
+        assert [o for o, _ in sorted(v)] == np.cumsum([0, *(n for _, n in sorted(v))])[:-1].tolist() and sum(n for _, n in v) <= 2048
+    assert max(map(len, held.values())) <= 400 and len(held) <= 8
+
+
 def test_bounds_are_bounds():
     r = random.Random(3)
     for _ in range(60):
@@ -278,6 +291,36 @@ def test_toxicity(spark):
     assert toxicity.fit(df, y.filter("toxic = 0")).entries == {} and toxicity.score(df.limit(0), lexicon).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_lexicon_against_plain_search(seed):
+    """The automaton finds what a search of every entry at every place finds; hits in an exception phrase don't count."""
+    r = random.Random(seed)
+    letters = "abc"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randrange(1, 5)))
+    entries = {f" {word()}{r.choice([' ', ''])}": r.random() for _ in range(12)}
+    exceptions = {f" {word()} {word()} " for _ in range(12)} - entries.keys()
+    lexicon = toxicity.Lexicon(entries, exceptions, -1.0, (0.5, 0.25))
+    automaton = lexicon.automaton()
+    for _ in range(200):
+        text = " ".join(word() for _ in range(r.randrange(0, 40)))
+        folded = toxicity.fold(text)
+        find = lambda phrase: [k for k in range(len(folded)) if folded.startswith(phrase, k)]
+        harmless = {k + i for p in exceptions for k in find(p) for i, c in enumerate(p[:-1]) if c == " "}
+        hits = [w for e, w in entries.items() for k in find(e) if k not in harmless]
+        total, by_length, n = lexicon.features(automaton, text)
+        words_in = len(folded.split())
+        assert n == len(hits) and total == pytest.approx(sum(hits)) and by_length == pytest.approx(sum(hits) / (words_in + 20) * 1000)
+    assert toxicity.Lexicon().features(toxicity.Lexicon().automaton(), "a b")[2] == 0
+
+
+def test_toxicity_of_repeated_rows_and_other_columns(spark):
+    lexicon = toxicity.Lexicon({" bad ": 2.0}, set(), -1.0, (1.0, 1.0))
+    df = spark.createDataFrame([(1, "bad " * 50_000, 9), (1, "bad " * 50_000, 9), (2, None, 9), (None, "fine", 9)], "doc_id long, text string, score int")
+    got = toxicity.score(df, lexicon).collect()
+    assert len(got) == 4 and sorted(x.score >= 0.5 for x in got) == [False, False, True, True]
+    assert toxicity.score(df, lexicon, "other").columns == ["doc_id", "text", "score", "other"]
+
+
 def test_toxicity_exceptions(spark):
     r = random.Random(11)
     rows, labels = [], []
