@@ -20,7 +20,10 @@ from treeweave.llm.queries import WEIGHTS, held_out
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The lexicon is learned from the labelled documents among docs, as in op6; those scored 0.5 or more go."""
     lexicon = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held_out())
-    return toxicity.score(docs, lexicon, "_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, lexicon, name).filter(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
