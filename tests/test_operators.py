@@ -110,3 +110,29 @@ def test_sample_buckets(spark):
 def test_like_filter(spark):
     df = spark.createDataFrame([("x (presents)",), ("x (co-production) (as M)",), ("none",), (None,)], "t string")
     assert [r.t for r in df.filter(like_filter(F.col("t"), ["(presents)", "(co-production)"], ["(as M)"])).collect()] == ["x (presents)"]
+
+
+def test_many_copies_of_a_row(spark, monkeypatch):
+    """Copies are made block by block."""
+    from treeweave.operators import shape
+
+    df = spark.createDataFrame([(1, 3_000_000), (2, 0), (3, 65_536), (4, 65_537)], "k long, n long")
+    got = {x.k: (x.c, x.lo, x.hi, x.s) for x in shape.expand(df, "n", index="i").groupBy("k").agg(F.count("*").alias("c"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.sum("i").alias("s")).collect()}
+    assert got == {k: (n, 0, n - 1, n * (n - 1) // 2) for k, n in ((1, 3_000_000), (3, 65_536), (4, 65_537))}
+    monkeypatch.setattr(shape, "BLOCK", 3)
+    some = shape.with_numbers(spark.createDataFrame([(5, 7), (9, -1), (2, 3), (1, 1)], "a long, n long"), F.col("a"), F.col("n"), "i")
+    assert sorted((x.a, x.i) for x in some.collect()) == [(1, 1), (2, 2), (2, 3), (2, 4), *((5, i) for i in range(5, 12))] and some.columns == ["a", "n", "i"]
+
+
+def test_rows_with_bars_are_checked(spark, tmp_path):
+    from treeweave.sources import files
+
+    columns = {"a": "bigint", "b": "string", "c": "double"}
+    write = lambda name, *lines: (tmp_path / name).write_text("\n".join(lines) + "\n")
+    write("good", "1|x|2.5|", "2||", "", "3|y|1|")
+    assert [tuple(x) for x in files.read_bars(spark, str(tmp_path / "good"), columns).collect()] == [(1, "x", 2.5), (2, None, None), (3, "y", 1.0)]
+    assert files.read_bars(spark, str(tmp_path / "good"), columns, empty_as_zero=True).filter("a = 2").first().c == 0.0
+    for bad in ("1|x", "1|x|2|3", "one|x|2|"):
+        write("bad", bad)
+        with pytest.raises(Exception):
+            files.read_bars(spark, str(tmp_path / "bad"), columns).collect()

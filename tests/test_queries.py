@@ -9,7 +9,6 @@ from treeweave.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-SLOW = {"graph_suite_size", "sink_component", "k_out_core", "positions_q9", "sensitivity_final"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def plain(rows):
     return sorted(([str(clean(x)) for x in r] for r in rows))
 
 
-@pytest.mark.parametrize("name", [n for n in registry.ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", registry.ORACLE_SQL)
 def test_query(spark, db, name):
     df = registry.QUERIES[name](spark, FOLDER)
     got = db.sql(registry.ORACLE_SQL[name])
@@ -43,3 +42,44 @@ def test_entry_imports():
 def test_like_predicates_drops_the_word_of_its_sql(spark, tmp_path):
     spark.createDataFrame([(1, "red anvil"), (2, "blue anvil"), (3, "small ring"), (4, None)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     assert {r.p_partkey for r in registry.QUERIES["like_predicates"](spark, str(tmp_path)).collect()} == {2, 3}
+
+
+def test_suite_sizes(spark):
+    """Every node of a core has as many edges as asked for, so a tree's size is the nodes times the product of the degrees; a series has one core."""
+    from treeweave.plans import graphs
+    from treeweave.plans.contributions import count_output
+
+    edges = spark.createDataFrame([(a, b) for a in range(9) for b in range(9) if a != b] + [(20, 1), (21, 20)], "source long, target long")
+    nodes = {}
+    for case, tree in graphs.suite_trees(edges, ["depth_d2_m9_medium", "depth_d4_m9_large", "branch_b3_m9_medium", "relations_m5_d2_b3", "relations_m7_d2_b3"]).items():
+        size, product = count_output(tree), math.prod(graphs.suite_cases()[case][1])
+        assert size % product == 0 and 4 <= size // product <= 9
+        nodes.setdefault(case.split("_")[0], set()).add(size // product)
+    assert all(len(n) == 1 for n in nodes.values()) and len(graphs.suite_cases()) == 15
+
+
+def test_hubs_and_cores(spark):
+    """The largest set of nodes with so many targets inside, and hubs, against plain Python."""
+    import random
+
+    from treeweave.plans import graphs
+
+    r = random.Random(3)
+    pairs = {(r.randrange(40), r.randrange(40)) for _ in range(230)}
+    edges = spark.createDataFrame(sorted(pairs), "source long, target long")
+    alive = {x for e in pairs for x in e}
+    while True:
+        left = {a for a in alive if sum(1 for s, t in pairs if s == a and t in alive) >= 3}
+        if left == alive:
+            break
+        alive = left
+    want = {(a, t) for a in alive for t in sorted(t for s, t in pairs if s == a and t in alive)[:3]}
+    assert alive and {(x.source, x.target) for x in graphs.out_core(edges, 3).collect()} == want
+
+    out = {a: sorted(t for s, t in pairs if s == a) for a in range(40)}
+    middle = {a: sorted((t for t in out[a] if out[t]), key=lambda t: (-len(out[t]), t))[:2] for a in out}
+    score = {a: sum(min(len(out[t]), 2) ** 2 for t in middle[a]) for a in out if middle[a] and any(t == a for _, t in pairs)}
+    hubs = sorted(score, key=lambda a: (-score[a], -a))[:3]
+    want = {(s, h) for h in hubs for s in sorted(s for s, t in pairs if t == h)[:4]}
+    want |= {(h, t) for h in hubs for t in middle[h]} | {(t, x) for h in hubs for t in middle[h] for x in out[t][:2]}
+    assert {(x.source, x.target) for x in graphs.hub_edges(edges, 3, 4, 2, 2).collect()} == want

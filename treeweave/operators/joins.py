@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shape import pad_to
+from .shape import pad_to, with_numbers
 
 
 def _condition(left: DataFrame, left_on: Sequence[str], right: DataFrame, right_on: Sequence[str]) -> list[Column]:
@@ -80,6 +80,6 @@ def align_copies(parents: DataFrame, children: DataFrame, parent_key: Sequence[s
     Only keys that parents have are spread.
     """
     wanted = children.join(parents.select(*[F.col(p).alias(f"__w{i}") for i, p in enumerate(parent_key)]).distinct(), [F.col(c) == F.col(f"__w{i}") for i, c in enumerate(child_key)], "left_semi")
-    slots = wanted.withColumn("__slot", F.explode(F.sequence(F.col(offset), F.col(offset) + F.col(weight) - 1)))
+    slots = with_numbers(wanted, F.col(offset), F.col(weight), "__slot")
     on = [F.col(p) == F.col(c) for p, c in zip(parent_key, child_key)]
     return parents.join(slots, [*on, F.col(order) == F.col("__slot")]).drop("__slot")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VALID = "__valid"
+BLOCK = 65_536  #: copies of a row that are held as one array
 
 
 def sort_rows(df: DataFrame, columns: Sequence[str], ascending: bool = True, nulls_last: bool = True) -> DataFrame:
@@ -21,6 +22,15 @@ def compact(df: DataFrame, mark: Column) -> DataFrame:
     return df.filter(mark)
 
 
+def with_numbers(df: DataFrame, start: Column, count: Column, name: str) -> DataFrame:
+    """Each row `count` times (none for 0 or less), with the numbers from start on. Numbers are made block by block, so that a row with very many copies is never one array."""
+    block, at = "__block", "__start"
+    blocks = df.withColumns({at: start.cast("long"), "__count": count.cast("long")}).filter("__count > 0")
+    blocks = blocks.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__count") - 1) / BLOCK))))
+    low, high = F.col(block) * BLOCK, F.least((F.col(block) + 1) * BLOCK, F.col("__count")) - 1
+    return blocks.withColumn(name, F.explode(F.sequence(F.col(at) + low, F.col(at) + high))).drop(block, at, "__count")
+
+
 def expand(df: DataFrame, count: str, target: int | None = None, index: str | None = None) -> DataFrame:
     """Each row count times (0 allowed). A negative or null count, or a sum other than target, is an error."""
     facts = df.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n"), F.count_if(F.col(count).isNull() | (F.col(count) < 0)).alias("bad")).first()
@@ -29,7 +39,7 @@ def expand(df: DataFrame, count: str, target: int | None = None, index: str | No
     if target is not None and facts.n != target:
         raise ValueError(f"counts add up to {facts.n}, not {target}")
     name = index or "__i"
-    out = df.filter(F.col(count) > 0).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)))
+    out = with_numbers(df, F.lit(0), F.col(count), name)
     return out if index else out.drop(name)
 
 

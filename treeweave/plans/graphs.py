@@ -208,7 +208,18 @@ def suite_cases() -> dict[str, tuple[list[int], list[int]]]:
     return out
 
 
-def suite_tree(edges: DataFrame, case: str, seed: int = 0) -> JoinTree:
-    parent, degrees = suite_cases()[case]
-    core = Workspace(edges.sparkSession, "suite").write(sink_component_edges(edges, 3, seed), "core")
-    return edge_tree(bounded_aliases(core, degrees), parent)
+# The seeds of the series' edge selections.
+SERIES_SEEDS = {"depth": 0, "branch": 1, "relations": 2}
+
+
+def suite_trees(edges: DataFrame, cases: Sequence[str] | None = None) -> dict[str, JoinTree]:
+    """The trees of some cases, or of all. A series has one selection of edges, which is made and written once."""
+    known, cores, out = suite_cases(), {}, {}
+    work = Workspace(edges.sparkSession, "suite")
+    for case in cases or known:
+        series = case.split("_")[0]
+        if series not in cores:
+            cores[series] = work.write(sink_component_edges(edges, 3, SERIES_SEEDS[series]), f"core-{series}")
+        parent, degrees = known[case]
+        out[case] = edge_tree(bounded_aliases(cores[series], degrees), parent)
+    return out

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dense_ids, duplicated, first_per_group, like_filter, sample_bucket
 from ..operators import aggregates, joins, scans, sets, shape
+from ..sources import files
+from ..sources.workspace import Workspace
 from . import graphs, workloads as w
 from .contributions import max_participation, output_size, participation, root_contributions
 from .sensitivity import SizeModel
@@ -297,7 +299,12 @@ def rank_offset(spark, d):
 
 @query("SELECT c_nationkey, c_mktsegment, CAST(row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY 1) AS INTEGER) AS copy, CAST((row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY 1) - 1) % 3 + 1 AS INTEGER) AS of_three FROM customer")
 def multi_number(spark, d):
-    return scans.number_copies(w.load(spark, d, "customer").select("c_nationkey", "c_mktsegment")).withColumn("of_three", (F.col("copy") - 1) % 3 + 1)
+    pairs = w.load(spark, d, "customer").select("c_nationkey", "c_mktsegment")
+    of_three = scans.number_copies(pairs, "of_three", modulo=3).groupBy("c_nationkey", "c_mktsegment", "of_three").agg(F.count("*").alias("n"))
+    numbered = scans.number_copies(pairs).withColumn("of_three", (F.col("copy") - 1) % 3 + 1)
+    # every number occurs as often under either numbering
+    same = numbered.groupBy("c_nationkey", "c_mktsegment", "of_three").agg(F.count("*").alias("n"))
+    return numbered.join(of_three.intersect(same), ["c_nationkey", "c_mktsegment", "of_three"]).drop("n")
 
 
 @query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos FROM orders")
@@ -376,12 +383,12 @@ def distinct_keys(spark, d):
     return aggregates.distinct_keys(w.load(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
-@query("SELECT true AS equal_bags")
+@query("SELECT true AS equal_bags, CAST(count(*) AS BIGINT) AS joined_rows FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey")
 def bag_fingerprint(spark, d):
-    """Two strategies' rows have one fingerprint."""
+    """Two strategies' rows have one fingerprint, and are as many as the join has."""
     a, b = (aggregates.bag_fingerprint(evaluate(w.chain(spark, d), s)) for s in ("native", "yannakakis"))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in a.columns]
-    return a.alias("a").join(b.alias("b"), same, "full").agg((F.count("*") == 1).alias("equal_bags"))
+    return a.alias("a").join(b.alias("b"), same, "full").agg((F.count("*") == 1).alias("equal_bags"), F.max("a.rows").alias("joined_rows"))
 
 
 @query("SELECT o_custkey AS k, CAST(1 AS INTEGER) AS tid FROM orders UNION ALL SELECT user_id, CAST(2 AS INTEGER) FROM events")
@@ -467,14 +474,134 @@ def bounded_degree(spark, d):
 
 @query()
 def graph_suite_size(spark, d):
-    """Exact sizes of three of the suite's trees over the supply graph's strongly connected core."""
+    """Exact sizes of the suite's 15 trees over the supply graph's strongly connected cores, one for each series."""
     out = None
-    for case in ("depth_d2_m9_medium", "branch_b4_m9_medium", "relations_m5_d2_b3"):
-        one = output_size(graphs.suite_tree(w.supply_graph(spark, d), case)).withColumn("suite_case", F.lit(case))
+    for case, tree in graphs.suite_trees(w.supply_graph(spark, d)).items():
+        one = output_size(tree).withColumn("suite_case", F.lit(case))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+# -- files: written as the workloads' text, read back --------------------------------------------------------------------
+
+def _folder(spark) -> str:
+    return Workspace(spark, "files").path
+
+
+@query("SELECT o_orderkey AS order_id, o_custkey AS customer_id FROM orders")
+def ints_file(spark, d):
+    path = f"{_folder(spark)}/orders.tbl"
+    files.write_ints(w.load(spark, d, "orders").select("o_orderkey", "o_custkey"), path)
+    return files.read_table(spark, path, ["order_id", "customer_id"])
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS output_rows FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey")
+def tree_folder_size(spark, d):
+    """A tree written with its expected size and read again."""
+    tree = JoinTree(
+        {"customer": w.load(spark, d, "customer").select("c_custkey"), "orders": w.load(spark, d, "orders").select("o_custkey", "o_orderkey"), "lineitem": w.load(spark, d, "lineitem").select("l_partkey", "l_orderkey")},
+        [edge("orders", "customer", "o_custkey", "c_custkey"), edge("lineitem", "orders", "l_orderkey", "o_orderkey")], "customer",
+    )
+    path = _folder(spark)
+    files.write_tree(tree, path, expected=output_size(tree).first()[0])
+    return output_size(files.read_tree(spark, path)).withColumn("expected", F.lit(files.read_expected(spark, f"{path}/expected.txt")).cast("long")).filter("output_rows = expected").select("output_rows")
+
+
+@query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def bars_file(spark, d):
+    path = f"{_folder(spark)}/customer.tbl"
+    c = w.load(spark, d, "customer")
+    fields = [F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_nationkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.col("c_mktsegment"))]
+    c.select(F.concat_ws("|", *fields, F.lit("")).alias("value")).write.text(path)
+    return files.read_bars(spark, path, {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "bigint", "c_mktsegment": "string"})
+
+
+@query("SELECT p_partkey, p_name || ', \"' || p_type || '\"' AS label FROM part")
+def quoted_csv_file(spark, d):
+    path = f"{_folder(spark)}/part.csv.gz"
+    p = w.load(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("label"))
+    p.write.csv(path, quote='"', escape="\\", quoteAll=True, compression="gzip")
+    return files.read_quoted_csv(spark, path, {"p_partkey": "bigint", "label": "string"})
+
+
+@query(f"SELECT source, target FROM {_GRAPH}")
+def edge_list_file(spark, d):
+    path = f"{_folder(spark)}/edges.txt"
+    e = w.supply_graph(spark, d).select("source", "target").distinct()
+    e.select(F.concat_ws("\t", F.col("source").cast("string"), F.col("target").cast("string")).alias("value")).unionByName(spark.createDataFrame([("# source target",), ("",)], "value string")).write.text(path)
+    return files.read_edges(spark, path)
+
+
+def _workload_size(spark, name: str, tables) -> DataFrame:
+    """Size of a workload's tree, its tables written under the workload's file names."""
+    path = _folder(spark)
+    for file, df in zip(files.WORKLOADS[name][0], tables, strict=True):
+        files.write_ints(df, f"{path}/{file}")
+    return output_size(files.read_workload(spark, name, path))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS output_rows FROM lineitem a JOIN supplier ON s_suppkey = a.l_suppkey JOIN orders ON o_orderkey = a.l_orderkey JOIN lineitem b ON b.l_orderkey = a.l_orderkey JOIN part ON p_partkey = b.l_partkey WHERE s_nationkey < 9 AND p_size < 20")
+def movie_workload_size(spark, d):
+    line = w.load(spark, d, "lineitem")
+    s, p = w.load(spark, d, "supplier").filter("s_nationkey < 9").select("s_suppkey"), w.load(spark, d, "part").filter("p_size < 20").select("p_partkey")
+    return _workload_size(spark, "job1a", [line.select("l_suppkey", "l_orderkey"), s, w.load(spark, d, "orders").select("o_orderkey"), line.select("l_orderkey", "l_partkey"), p])
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS output_rows FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 12")
+def returns_chain_workload_size(spark, d):
+    c = w.load(spark, d, "customer").filter("c_nationkey < 12").select("c_custkey", "c_nationkey")
+    return _workload_size(spark, "q85_chain", [w.load(spark, d, "lineitem").select("l_orderkey", "l_partkey"), w.load(spark, d, "orders").select("o_orderkey", "o_custkey"), c])
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS output_rows FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = l_linenumber WHERE n_regionkey <> 1")
+def returns_star_workload_size(spark, d):
+    n = w.load(spark, d, "nation").filter("n_regionkey <> 1").select("n_nationkey", "n_regionkey")
+    return _workload_size(spark, "q85_star", [w.load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), w.load(spark, d, "orders").select("o_orderkey", "o_custkey"), w.load(spark, d, "part").select("p_partkey", "p_size"), w.load(spark, d, "supplier").select("s_suppkey", "s_nationkey"), n])
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IS NOT NULL AND p_name IS NOT NULL AND p_partkey % 4 <> 0")
+def projection_without_nulls(spark, d):
+    p = w.load(spark, d, "part").select(F.when(F.col("p_partkey") % 4 != 0, F.col("p_partkey")).alias("p_partkey"), "p_name")
+    return files.project(p, ["p_partkey", "p_name"])
+
+
+# -- sorting, zipping, sizes -----------------------------------------------------------------------------------------------
+
+@query("SELECT k, o_orderkey FROM (SELECT CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey FROM orders) ORDER BY k ASC NULLS LAST, o_orderkey ASC LIMIT 500")
+def sort_first(spark, d):
+    o = w.load(spark, d, "orders").select(F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("k"), "o_orderkey")
+    return shape.sort_rows(o, ["k", "o_orderkey"]).limit(500)
+
+
+@query("SELECT k, o_orderkey FROM (SELECT CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey END AS k, o_orderkey FROM orders) ORDER BY k DESC NULLS FIRST, o_orderkey DESC LIMIT 500")
+def sort_descending_nulls_first(spark, d):
+    o = w.load(spark, d, "orders").select(F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("k"), "o_orderkey")
+    return shape.sort_rows(o, ["k", "o_orderkey"], ascending=False, nulls_last=False).limit(500)
+
+
+@query("SELECT k, i, o_orderkey, event_id FROM (SELECT o_custkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS i, o_orderkey FROM orders) JOIN (SELECT user_id AS k, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i, event_id FROM events) USING (k, i)")
+def zip_by_slot(spark, d):
+    o = scans.rank_offset(w.load(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey"), ["k"], None, ["o_orderkey"], "i")
+    e = scans.rank_offset(w.load(spark, d, "events").select(F.col("user_id").alias("k"), "event_id"), ["k"], None, ["event_id"], "i")
+    return shape.zip_rows(o, e, ["k", "i"])
+
+
+@query("SELECT n_nationkey FROM (SELECT n_nationkey, unnest(generate_series(1, greatest(n_regionkey, 1))) AS i FROM nation) ORDER BY n_nationkey, i LIMIT 40")
+def expand_to_size(spark, d):
+    n = w.load(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("times"))
+    return shape.expand_to(n, "times", 40, ["n_nationkey"]).filter(shape.VALID).select("n_nationkey")
+
+
+@query("SELECT n_nationkey, r_regionkey, true AS __valid FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT NULL, NULL, false FROM generate_series(1, 40 - (SELECT count(*) FROM nation JOIN region ON r_regionkey = n_regionkey))")
+def two_way_join_padded(spark, d):
+    return joins.equi_join(w.load(spark, d, "nation"), w.load(spark, d, "region"), ["n_regionkey"], ["r_regionkey"], 40).select("n_nationkey", "r_regionkey", shape.VALID)
+
+
+@query("SELECT o_orderkey, CAST((o_orderkey % 12) // 3 + ((o_orderkey % 12) % 3) * 4 AS BIGINT) AS slot FROM orders")
+def aligned_slots(spark, d):
+    return w.load(spark, d, "orders").select("o_orderkey", scans.aligned_position(F.col("o_orderkey") % 12, F.lit(3), F.lit(4)).cast("long").alias("slot"))
+
+
 # -- aggregates above joins: the templates whose columns exist here, with money in whole cents -------------------------------
 
 _CENTS = "CAST(round({0} * 100) AS BIGINT)"

@@ -22,7 +22,7 @@ from ..operators.aggregates import max_frequency
 from .contributions import LONG_MAX, count_output
 from .tree import JoinTree
 
-LEAVES = 5e9  #: estimated evaluations above which a sensitivity is not computed
+LEAVES = 5e5  #: estimated evaluations above which a sensitivity is not computed: the driver makes about 10,000 a second
 EXACT_ROWS = 1_000_000  #: rows of a component up to which its boundary is computed exactly
 
 

@@ -95,14 +95,21 @@ def _fields(columns: Mapping[str, str]) -> T.StructType:
 
 
 def read_bars(spark: SparkSession, path: str, columns: Mapping[str, str], empty_as_zero: bool = False) -> DataFrame:
-    """`|`-separated rows that may end in a separator. Empty fields are null, or 0 in numeric columns if empty_as_zero (then 0 joins as a value)."""
-    df = spark.read.csv(path, sep="|", schema=_fields(columns), mode="PERMISSIVE")
+    """`|`-separated rows that may end in a separator. Empty fields are null, or 0 in numeric columns if empty_as_zero (then 0 joins as a value).
+
+    A row of another width, or a value that isn't of its column's type, is an error where it is read.
+    """
+    n = len(columns)
+    parts = spark.read.text(path).filter("value <> ''").select(F.split("value", r"\|", -1).alias("v"))
+    fits = (F.size("v") == n) | ((F.size("v") == n + 1) & (F.get("v", F.lit(n)) == ""))
+    checked = parts.select(F.when(fits, F.col("v")).otherwise(F.raise_error(F.concat(F.lit(f"a row doesn't have {n} fields: "), F.concat_ws("|", "v")))).alias("v"))
+    df = checked.select(*[F.nullif(F.get("v", F.lit(i)), F.lit("")).cast(t).alias(c) for i, (c, t) in enumerate(columns.items())])
     return df.fillna(0) if empty_as_zero else df
 
 
-def read_quoted_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
-    """Comma-separated, quoted by \", escaped by a backslash; gzipped files are read as they are."""
-    return spark.read.csv(path, sep=",", quote='"', escape="\\", multiLine=True, schema=_fields(columns))
+def read_quoted_csv(spark: SparkSession, path: str, columns: Mapping[str, str], line_breaks: bool = False) -> DataFrame:
+    """Comma-separated, quoted by \", escaped by a backslash; gzipped files are read as they are. With line_breaks fields may hold some; then a file is one task."""
+    return spark.read.csv(path, sep=",", quote='"', escape="\\", multiLine=line_breaks, schema=_fields(columns))
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
