@@ -144,6 +144,16 @@ def test_shards(spark):
     assert {x.shard for x in sharding.assign_shards(df, 10**9).collect()} == {""}
 
 
+def test_directory_beyond_a_broadcast(spark, monkeypatch):
+    r = random.Random(8)
+    df = spark.createDataFrame([(r.randrange(300), "x" * r.randrange(100)) for _ in range(900)], "doc_id long, text string")
+    small = sorted(map(tuple, sharding.assign_shards(df.filter("doc_id < 250"), 700).groupBy("doc_id", "n_bytes").count().collect()))
+    few = sorted(tuple(x) for x in sharding.assign_shards(df.dropDuplicates(["doc_id"]), 200).collect())
+    monkeypatch.setattr(sharding, "CELLS", 0)
+    assert sorted(map(tuple, sharding.assign_shards(df.filter("doc_id < 250"), 700).groupBy("doc_id", "n_bytes").count().collect())) == small
+    assert {x[0] for x in few} == {x.doc_id for x in sharding.assign_shards(df.dropDuplicates(["doc_id"]), 200).collect()}
+
+
 def test_written_shards(spark, tmp_path):
     rows = [(None, "n", 0), (7, "x" * 900, 1), (7, "x" * 900, 2), (8, "y" * 500, 3), (None, None, 4), (9, "é" * 400, 5)] + [(i, "z" * 90, i) for i in range(20, 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int")

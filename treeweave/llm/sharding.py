@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, small
 
 BITS = 60
+CELLS = 100_000  #: largest part of the directory that is broadcast: rows hold a prefix as text, under 200 bytes, so 20 MB at most; a larger one is joined by prefix
 
 
 def key_bits(key: Column) -> Column:
@@ -48,9 +49,9 @@ def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str =
         ways = cells.select("_cell", F.explode(F.sequence(F.lit(done), F.lit(depth))).alias("_d")).select("_cell", "_d", F.substring("_cell", F.lit(1), F.col("_d")).alias("_shard"))
         directory = work.write(ways.join(fits, ["_d", "_shard"], "left_semi").groupBy("_cell").agg(F.min("_d").alias("depth")), f"directory{step}")
         n_cells = directory.count()
-        joined = left.withColumn("_cell", F.substring("_bits", 1, depth)).join(small(directory, n_cells), "_cell", "left")
+        joined = left.withColumn("_cell", F.substring("_bits", 1, depth)).join(small(directory, n_cells, CELLS), "_cell", "left")
         out.append(joined.filter("depth IS NOT NULL").select(*kept, "n_bytes", "depth", F.substring("_bits", F.lit(1), F.col("depth")).alias("shard")))
-        if cells.join(small(directory, n_cells), "_cell", "left_anti").isEmpty():
+        if cells.join(small(directory, n_cells, CELLS), "_cell", "left_anti").isEmpty():
             break
         left = work.write(joined.filter("depth IS NULL").select(*kept, "n_bytes", "_bits"), f"left{step}")
         total = left.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
