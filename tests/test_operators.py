@@ -30,7 +30,32 @@ def test_compact_and_pad(spark):
     assert [r.v for r in shape.sort_rows(spark.createDataFrame([(2,), (None,), (1,)], "v long"), ["v"]).collect()] == [1, 2, None]
 
 
-def test_scans(spark):
+@pytest.fixture(params=["by group", "by parts"])
+def scanned(request, spark, monkeypatch):
+    """Scans by group, and as for groups too large for a task, over six range partitions."""
+    if request.param == "by parts":
+        monkeypatch.setattr(scans, "HOT", 0)
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        yield
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    else:
+        yield
+
+
+def test_hot_groups(spark, scanned):
+    """One group of three quarters of the rows, null keys and values, and an order downwards, against plain Python."""
+    rows = [(None if i % 11 == 0 else 1 if i % 4 else 2, i, None if i % 5 == 0 else i % 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "g long, i long, v long")
+    got = {r.i: (r.s, r.f, r.h) for r in scans.rank_offset(scans.forward_fill(scans.prefix_sum(df, "v", ["g"], [F.desc("i")], "s"), ["v"], F.col("i") % 30 == 0, ["g"], ["i"]).withColumnRenamed("filled_v", "f"), ["g"], None, ["i"]).collect()}
+    for g, i, _ in rows:
+        headers = [v for a, b, v in rows if a == g and b <= i and b % 30 == 0]
+        assert got[i] == (sum(v or 0 for a, b, v in rows if a == g and b > i), headers[-1] if headers else None, sum(1 for a, b, _ in rows if a == g and b < i))
+    empty = df.limit(0)
+    assert scans.prefix_sum(empty, "v", ["g"], ["i"], "s").count() == 0 and scans.number_copies(empty).count() == 0
+
+
+def test_scans(spark, scanned):
     rows = [(g, i, (g * 7 + i * 3) % 5) for g in range(3) for i in range(5)]
     df = spark.createDataFrame(rows, "g long, i long, v long")
     for inclusive, reverse in itertools.product((False, True), (False, True)):
@@ -61,7 +86,7 @@ def test_numbering(spark):
     assert sorted(r.o for r in six.collect()) == list(range(6))
 
 
-def test_joins(spark):
+def test_joins(spark, scanned):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (1, "w")], "k long, p string")
     b = spark.createDataFrame([(1, 5), (1, 6), (3, 7), (None, 8)], "k long, q long")
     assert joins.equi_join(a, b, ["k"], ["k"]).count() == 4

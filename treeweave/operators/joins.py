@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import forward_fill
 from .shape import pad_to, with_numbers
 
 
@@ -68,18 +69,17 @@ def range_lookup(positions: DataFrame, ranges: DataFrame, key: Sequence[str], po
     """
     left = positions.select(*key, F.col(position).alias("__at"), F.lit(1).alias("__side"), F.struct(*positions.columns).alias("__row"), F.lit(None).cast(ranges.select(F.struct(*values).alias("x")).schema["x"].dataType).alias("__v"))
     right = ranges.select(*key, F.col(start).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.struct(*values).alias("__v"))
-    w = Window.partitionBy(*key).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("__last", F.last("__v", ignorenulls=True).over(w))
-    return both.filter("__side = 1 AND __last IS NOT NULL").select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values])
+    both = forward_fill(left.unionByName(right), ["__v"], F.col("__side") == 0, key, ["__at", "__side"], "__last")
+    return both.filter("__side = 1 AND __last__v IS NOT NULL").select("__row.*", *[F.col(f"__last__v.{v}").alias(v) for v in values])
 
 
-def align_copies(parents: DataFrame, children: DataFrame, parent_key: Sequence[str], child_key: Sequence[str], order: str, offset: str, weight: str) -> DataFrame:
+def align_copies(parents: DataFrame, children: DataFrame, parent_key: Sequence[str], child_key: Sequence[str], order: str, offset: str, weight: str, reduced: bool = False) -> DataFrame:
     """Each parent copy with the child that covers its order number: child rows hold [offset, offset + weight) of their key.
 
     Child rows are spread over their slots, and (key, slot) is joined as equality: a hot key's slots are spread over all tasks.
-    Only keys that parents have are spread.
+    Only keys that parents have are spread; children that are reduced to these keys already are taken as they are.
     """
-    wanted = children.join(parents.select(*[F.col(p).alias(f"__w{i}") for i, p in enumerate(parent_key)]).distinct(), [F.col(c) == F.col(f"__w{i}") for i, c in enumerate(child_key)], "left_semi")
+    wanted = children if reduced else children.join(parents.select(*[F.col(p).alias(f"__w{i}") for i, p in enumerate(parent_key)]).distinct(), [F.col(c) == F.col(f"__w{i}") for i, c in enumerate(child_key)], "left_semi")
     slots = with_numbers(wanted, F.col(offset), F.col(weight), "__slot")
     on = [F.col(p) == F.col(c) for p, c in zip(parent_key, child_key)]
     return parents.join(slots, [*on, F.col(order) == F.col("__slot")]).drop("__slot")

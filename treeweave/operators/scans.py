@@ -1,28 +1,62 @@
-"""Scans: prefix and suffix sums, group totals, forward fill, numbering. Groups are window partitions; a scan over all rows goes by range partitions."""
+"""Scans: prefix and suffix sums, group totals, forward fill, numbering.
+
+Groups are window partitions, as long as none has more than HOT rows. Beyond, rows are laid out in range partitions of key and order, so that
+a hot group lies over many of them: each part of a group is scanned on its own, and what the parts before it add up to follows. The
+results are the same. The order must be total for a fixed result.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.workspace import Workspace
+from .shape import with_numbers
+
+HOT = 2_000_000  #: rows of a group that one task scans
 
 
 def _by(keys: Sequence[str], order: Sequence[Column | str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def _scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, frame: tuple[int, int], value: Callable[[Column | str], Column], source: Column, join: Callable[[Column, Column], Column], back: bool = False) -> DataFrame:
+    """df with `name`: value(source), an aggregate, over a frame of each row's group.
+
+    value also makes one of the values of a group's parts before a part (back: behind it), and join puts that together with the value inside.
+    """
+    small = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).isEmpty()
+    if small:
+        return df.withColumn("__in", value(source).over(_by(keys, order).rowsBetween(*frame))).withColumn(name, join(F.lit(None), F.col("__in"))).drop("__in")
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id())
+    parts = Workspace(spark, "scan").write(laid, "parts")
+    here = _by(["__part", *keys], order)
+    parts = parts.withColumn("__in", value(source).over(here.rowsBetween(*frame))).withColumn("__all", value(source).over(here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    names = [f"__k{i}" for i in range(len(keys))]
+    each = parts.groupBy("__part", *[F.col(k).alias(a) for k, a in zip(keys, names)]).agg(F.first("__all").alias("__all"))
+    w = Window.partitionBy(*names).orderBy("__part")
+    w = w.rowsBetween(1, Window.unboundedFollowing) if back else w.rowsBetween(Window.unboundedPreceding, -1)
+    carry = each.select("*", value("__all").over(w).alias("__carry"), F.count("*").over(w).alias("__n")).filter("__n > 0").drop("__n", "__all").withColumnRenamed("__part", "__p")
+    # a group goes on from the partition before it in one case a partition at most: carry has under n rows
+    on = [F.col("__part") == F.col("__p"), *[F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, names)]]
+    return parts.join(F.broadcast(carry), on, "left").withColumn(name, join(F.col("__carry"), F.col("__in"))).select(*df.columns, name)
+
+
+def _sum(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[Column | str], name: str, frame: tuple[int, int], back: bool) -> DataFrame:
+    return _scan(df, keys, order, name, frame, F.sum, F.col(value), lambda carry, own: F.coalesce(carry + own, carry, own, F.lit(0)), back)
+
+
 def prefix_sum(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[Column | str], name: str, inclusive: bool = False) -> DataFrame:
-    """Sum of the rows before each row of its group (and its own, if inclusive). The order must be total for a fixed result."""
-    w = _by(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    """Sum of the rows before each row of its group (and its own, if inclusive)."""
+    return _sum(df, value, keys, order, name, (Window.unboundedPreceding, 0 if inclusive else -1), back=False)
 
 
 def suffix_sum(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[Column | str], name: str, inclusive: bool = True) -> DataFrame:
-    w = _by(keys, order).rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
-    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return _sum(df, value, keys, order, name, (0 if inclusive else 1, Window.unboundedFollowing), back=True)
 
 
 def group_total(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
@@ -35,22 +69,27 @@ def group_total(df: DataFrame, value: str, keys: Sequence[str], name: str) -> Da
 
 def forward_fill(df: DataFrame, values: Sequence[str], header: Column, keys: Sequence[str], order: Sequence[Column | str], prefix: str = "filled_") -> DataFrame:
     """Values of the last header row at or before each row of its group."""
-    w = _by(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(header, F.struct(*values)), ignorenulls=True).over(w)
-    return df.withColumn("__last", last).select(*df.columns, *[F.col(f"__last.{v}").alias(prefix + v) for v in values])
+    last = lambda c: F.last(c, ignorenulls=True)
+    filled = _scan(df, keys, order, "__last", (Window.unboundedPreceding, 0), last, F.when(header, F.struct(*values)), lambda carry, own: F.coalesce(own, carry))
+    return filled.select(*df.columns, *[F.col(f"__last.{v}").alias(prefix + v) for v in values])
 
 
 def rank_offset(df: DataFrame, key: Sequence[str], delta: str | None, order: Sequence[Column | str], name: str = "h") -> DataFrame:
     """Exclusive running delta within the key; a row's number from 0 where no delta is given (leaves)."""
     if delta is None:
-        return df.withColumn(name, (F.row_number().over(_by(key, order)) - 1).cast("long"))
+        return prefix_sum(df.withColumn("__one", F.lit(1).cast("long")), "__one", key, order, name).drop("__one")
     return prefix_sum(df, delta, key, order, name)
 
 
 def number_copies(df: DataFrame, name: str = "copy", modulo: int | None = None) -> DataFrame:
-    """1, 2, ... among rows equal in all columns; with modulo, starting again after so many."""
-    n = F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(1)))
-    return df.withColumn(name, n if modulo is None else (n - 1) % modulo + 1)
+    """1, 2, ... among rows equal in all columns; with modulo, starting again after so many.
+
+    Equal rows are counted, which partial sums do before the shuffle, and made again with their numbers: a row that fills a third of the table is no hot task.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("__times"))
+    n = F.col("__number")
+    made = with_numbers(counted, F.lit(1), F.col("__times"), "__number")
+    return made.select(*df.columns, (n if modulo is None else (n - 1) % modulo + 1).cast("int").alias(name))
 
 
 def aligned_position(index: Column, first: Column, second: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.errors import ArithmeticException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import Workspace
 from .tree import CountOverflow, Edge, JoinTree
 
 LONG_MAX = 2**63 - 1
@@ -40,10 +41,11 @@ def _parent(e: Edge) -> list[str]:
     return [f"{e.parent}__{c}" for c in e.parent_columns]
 
 
-def contributions(tree: JoinTree, saturate: bool = False, keep_dangling: bool = True) -> dict[str, DataFrame]:
+def contributions(tree: JoinTree, saturate: bool = False, keep_dangling: bool = True, work: Workspace | None = None) -> dict[str, DataFrame]:
     """For each relation its qualified rows with u_<child> (the summed delta of its matches) and delta, their product; leaves have 1.
 
-    keep_dangling=False leaves out rows of delta 0, and so joins inside only.
+    keep_dangling=False leaves out rows of delta 0, and so joins inside only. With work, inner relations other than the root are
+    written: who reads them besides their parent's sums doesn't count their subtrees again.
     """
     out: dict[str, DataFrame] = {}
     for r in reversed(tree.breadth_first()):
@@ -57,7 +59,8 @@ def contributions(tree: JoinTree, saturate: bool = False, keep_dangling: bool =
             if keep_dangling:
                 df = df.withColumn(u, F.coalesce(u, F.lit(0)))
             delta = _times(delta, F.col(u), saturate)
-        out[r] = df.withColumn(f"{r}__delta", delta)
+        df = df.withColumn(f"{r}__delta", delta)
+        out[r] = work.write(df, f"delta-{r}") if work and r != tree.root and tree.children(r) else df
     return out
 
 
@@ -82,9 +85,12 @@ def participation(tree: JoinTree, saturate: bool = False) -> dict[str, DataFrame
     """For each relation its rows with outside (output rows for one subtree match) and participation = outside * delta, the output rows each is in.
 
     Bottom-up deltas meet a top-down pass: a child's outside is the sum, over the parent rows it matches, of their outside times
-    the other children's u.
+    the other children's u. Either pass reads each base table once: what a later step reads again is written.
     """
-    deltas = contributions(tree, saturate)
+    work = Workspace(tree.relations[tree.root].sparkSession, "participation")
+    deltas = contributions(tree, saturate, work=work)
+    if tree.children(tree.root):
+        deltas[tree.root] = work.write(deltas[tree.root], f"delta-{tree.root}")
     out = {tree.root: deltas[tree.root].withColumn(f"{tree.root}__outside", F.lit(1).cast("long"))}
     for r in tree.breadth_first():
         for e in tree.children(r):
@@ -96,7 +102,8 @@ def participation(tree: JoinTree, saturate: bool = False) -> dict[str, DataFrame
             sums = _totals(out[r].withColumn("__f", factor), _parent(e), "__f", name, saturate)
             df = deltas[e.child]
             keys = [f"__k{i}" for i in range(len(e.child_columns))]
-            out[e.child] = df.join(sums, _on(df, _child(e), sums), "left").drop(*keys).withColumn(name, F.coalesce(name, F.lit(0)))
+            df = df.join(sums, _on(df, _child(e), sums), "left").drop(*keys).withColumn(name, F.coalesce(name, F.lit(0)))
+            out[e.child] = work.write(df, f"outside-{e.child}") if tree.children(e.child) else df
     return {r: df.withColumn(f"{r}__participation", _times(F.col(f"{r}__outside"), F.col(f"{r}__delta"), saturate)) for r, df in out.items()}
 
 

@@ -1,6 +1,6 @@
 """Ways to evaluate a join tree. All give the same bag of rows.
 
-native: one chain of joins, which Catalyst and AQE plan (the default). yannakakis: full reduction by semi-joins first. positions: every output row gets its
+native: one chain of joins, which Catalyst and AQE plan (the default). yannakakis: semi-joins from the leaves up first. positions: every output row gets its
 number, and each relation's row for it is found by arithmetic on contributions.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import align_copies
 from ..operators.scans import global_prefix, rank_offset
-from ..operators.shape import pad_to
+from ..operators.shape import pad_to, with_numbers
 from ..sources.workspace import Workspace
 from .contributions import contributions, count_output
 from .tree import JoinTree, OutputTooLarge
@@ -37,22 +37,29 @@ def _half_join(left: DataFrame, left_keys: list[str], right: DataFrame, right_ke
 
 
 def semi_join_up(tree: JoinTree) -> dict[str, DataFrame]:
-    """Each relation reduced by its subtree: only rows that have matches below."""
+    """Each relation reduced by its subtree: only rows that have matches below. Inner relations other than the root are written, as they are read twice."""
     out = {r: tree.qualified(r) for r in tree.relations}
+    work = Workspace(tree.relations[tree.root].sparkSession, "reduced")
     for r in reversed(tree.breadth_first()):
         for e in tree.children(r):
             child, parent = _keys(e)
             out[r] = _half_join(out[r], parent, out[e.child], child)
+        if r != tree.root and tree.children(r):
+            out[r] = work.write(out[r], f"up-{r}")
     return out
 
 
 def full_reduce(tree: JoinTree) -> dict[str, DataFrame]:
     """Each relation with only the rows that are in the output."""
     out = semi_join_up(tree)
-    for r in tree.breadth_first()[1:]:
-        e = tree.edge_to(r)
-        child, parent = _keys(e)
-        out[r] = _half_join(out[r], child, out[e.parent], parent)
+    work = Workspace(tree.relations[tree.root].sparkSession, "reduced")
+    for r in tree.breadth_first():
+        if r != tree.root:
+            e = tree.edge_to(r)
+            child, parent = _keys(e)
+            out[r] = _half_join(out[r], child, out[e.parent], parent)
+        if tree.children(r):
+            out[r] = work.write(out[r], f"down-{r}")
     return out
 
 
@@ -73,11 +80,19 @@ def dangling(tree: JoinTree, relation: str) -> DataFrame:
 def _positions(tree: JoinTree) -> DataFrame:
     """The root's rows take consecutive positions, in the order of all their columns, as many as they contribute. Below it, a copy's
     number among its siblings' combinations (mixed radix, the last child fastest) names the child row that covers it."""
-    deltas = contributions(tree, keep_dangling=False)
+    work = Workspace(tree.relations[tree.root].sparkSession, "positions")
+    deltas = contributions(tree, keep_dangling=False, work=work)
     root = tree.root
+    deltas[root] = work.write(deltas[root], f"delta-{root}")
+    for r in tree.breadth_first()[1:]:  # rows that the output lacks go before any is spread
+        e = tree.edge_to(r)
+        child, parent = _keys(e)
+        deltas[r] = _half_join(deltas[r], child, deltas[e.parent], parent)
+        if tree.children(r):
+            deltas[r] = work.write(deltas[r], f"down-{r}")
     order = [c for c in deltas[root].columns if "__u_" not in c and not c.endswith("__delta")]
     state = global_prefix(deltas[root], F.col(f"{root}__delta"), order, "__b")
-    state = state.withColumn(f"{root}__lp", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{root}__delta") - 1)))
+    state = with_numbers(state, F.lit(0), F.col(f"{root}__delta"), f"{root}__lp")
     state = state.withColumn("pos", F.col("__b") + F.col(f"{root}__lp")).drop("__b", f"{root}__delta")
     for r in tree.breadth_first():
         edges = tree.children(r)
@@ -92,7 +107,7 @@ def _positions(tree: JoinTree) -> DataFrame:
             leaf = not tree.children(c)
             rows = rank_offset(rows, child, None if leaf else f"{c}__delta", columns, f"{c}__h")
             state = state.withColumn("__stride", stride).withColumn("__ord", F.expr(f"(`{r}__lp` div __stride) % `{r}__u_{c}`"))
-            state = align_copies(state, rows, parent, child, "__ord", f"{c}__h", f"{c}__delta")
+            state = align_copies(state, rows, parent, child, "__ord", f"{c}__h", f"{c}__delta", reduced=True)
             state = state.withColumn(f"{c}__lp", F.col("__ord") - F.col(f"{c}__h")).drop("__ord", "__stride", f"{c}__h", f"{c}__delta")
     return state
 
@@ -104,7 +119,8 @@ def evaluate(tree: JoinTree, strategy: str = "native", max_rows: int | None = No
     if strategy == "native":
         joined = _chain(tree, {r: tree.qualified(r) for r in tree.relations})
     elif strategy == "yannakakis":
-        joined = _chain(tree, full_reduce(tree))
+        # joined from the root down, relations reduced upwards make no row that the output lacks: a sweep down would only read them once more
+        joined = _chain(tree, semi_join_up(tree))
     elif strategy == "positions":
         joined = _positions(tree)
     else:
@@ -114,10 +130,11 @@ def evaluate(tree: JoinTree, strategy: str = "native", max_rows: int | None = No
     return tree.finish(joined, ["pos"] if with_position else [], column_order)
 
 
-def materialize(tree: JoinTree, target: int, strategy: str = "native") -> DataFrame:
-    """The rows padded to a target size, with __valid; a target under the exact size is an error."""
+def materialize(tree: JoinTree, target: int, strategy: str = "native", cut: bool = False) -> DataFrame:
+    """The rows padded to a target size, with __valid. A target under the exact size is an error, or with cut keeps any `target` of the rows."""
     n = count_output(tree)
-    if n > target:
+    if n > target and not cut:
         raise OutputTooLarge(n, target)
     work = Workspace(tree.relations[tree.root].sparkSession, "materialized")
-    return pad_to(work.write(evaluate(tree, strategy), "rows"), target, strict=True)
+    rows = evaluate(tree, strategy)
+    return pad_to(work.write(rows.limit(target) if n > target else rows, "rows"), target, strict=True)
