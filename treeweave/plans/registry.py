@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from ..sources import files
 from ..sources.workspace import Workspace
 from . import graphs, workloads as w
 from .contributions import max_participation, output_size, participation, root_contributions
-from .sensitivity import SizeModel
+from .sensitivity import SizeModel, largest_distance, smoothing
 from .strategies import dangling, evaluate, full_reduce, plain, semi_join_up
+from .targets import select_target
 from .tree import JoinTree, edge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,21 +445,79 @@ def order_participation(spark, d):
     return plain(participation(w.many_to_many(spark, d))["orders"], "orders").select("o_orderkey", "participation")
 
 
-@query()
+_CHAIN_BOUNDS = """WITH freq AS (SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey)) AS c, (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderkey)) AS o,
+ (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)) AS l, (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey)) AS by_order, (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)) AS by_customer,
+ (SELECT max(n) FROM (SELECT count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_orderkey)) AS upper, (SELECT max(n) FROM (SELECT count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey)) AS lower),
+ d AS (SELECT c AS t1, o AS t2, l AS t4, c * by_order AS t3, c * l AS t5, by_customer * l AS t6, upper AS e3, lower AS e6 FROM freq)"""
+
+
+@query(f"{_CHAIN_BOUNDS} SELECT unnest([1, 2, 3, 4, 5, 6]) AS relations, CAST(unnest([t1, t2, t3, t4, t5, t6]) AS BIGINT) AS by_degrees, CAST(unnest([t1, t2, e3, t4, t5, e6]) AS BIGINT) AS exact FROM d")
+def boundary_bounds(spark, d):
+    """For each set of the chain's relations (bits: customer, orders, lineitem) the degree bound and the exact one, with its whole boundary."""
+    model = SizeModel(w.chain(spark, d))
+    rows = [(e, model.by_degrees(e, model.boundary(e)), model.exact(e, model.boundary(e))) for e in range(1, 7)]
+    return spark.createDataFrame(rows, "relations int, by_degrees long, exact long")
+
+
+_BETA = smoothing(4.0, 1e-8)
+
+
+def _residual_sql(t3: str, t6: str) -> str:
+    """The largest, over the left-out relation and shares x, y of the other two."""
+    forms = [f"{t6} + t2 * y + t4 * x + x * y", "t5 + t1 * y + t4 * x + x * y", f"{t3} + t1 * y + t2 * x + x * y"]
+    return f"CAST(greatest(1, ceil(max(exp(-{_BETA!r} * (x + y)) * greatest({', '.join(forms)})))) AS BIGINT)"
+
+
+_SHARES = f"(SELECT x, y FROM generate_series(0, {largest_distance(3, _BETA)}) a(x), generate_series(0, {largest_distance(3, _BETA)}) b(y) WHERE x + y <= {largest_distance(3, _BETA)})"
+
+
+@query(f"{_CHAIN_BOUNDS}, r AS (SELECT {_residual_sql('t3', 't6')} AS degree_only, {_residual_sql('least(t3, e3)', 'least(t6, e6)')} AS consistent FROM d, {_SHARES}), n AS (SELECT (SELECT count(*) FROM customer) AS a, (SELECT count(*) FROM orders) AS b, (SELECT count(*) FROM lineitem) AS c) SELECT degree_only, consistent, consistent AS relaxed, CAST(greatest(a * b, a * c, b * c) AS BIGINT) AS ceiling, CAST(least(degree_only, consistent, greatest(a * b, a * c, b * c)) AS BIGINT) AS final FROM r, n")
 def sensitivity_final(spark, d):
     """One row: the bounds on how much one row can change the size of the chain join, and the smallest of them."""
     s = SizeModel(w.chain(spark, d)).compute(4.0, 1e-8)
     return spark.createDataFrame([(s.degree_only, s.consistent, s.relaxed, s.ceiling, s.final)], "degree_only long, consistent long, relaxed long, ceiling long, final long")
 
 
+@query(f"SELECT CAST(count(*) AS BIGINT) AS exact_rows, CAST(greatest(1, count(*)) AS BIGINT) AS exact_target, CAST(count(*) + 1000 AS BIGINT) AS public_target FROM {_CHAIN}")
+def target_policies(spark, d):
+    """Targets of the chain join: exact, and a public size above it."""
+    tree = w.chain(spark, d)
+    n = output_size(tree).first()[0]
+    return spark.createDataFrame([(n, select_target(tree).rows, select_target(tree, "public", n + 1000).rows)], "exact_rows long, exact_target long, public_target long")
+
+
+_MOVIE_SQL = """SELECT {p} AS percent, CAST(count(*) AS BIGINT) AS output_rows FROM orders JOIN region ON r_regionkey = o_custkey % 5 AND r_regionkey <> 1
+ JOIN lineitem mc ON mc.l_orderkey = o_orderkey JOIN supplier ON s_suppkey = mc.l_suppkey AND s_nationkey < 18 JOIN nation ct ON ct.n_nationkey = mc.l_linenumber AND ct.n_regionkey <> 1
+ JOIN lineitem mi ON mi.l_orderkey = o_orderkey JOIN nation it ON it.n_nationkey = mi.l_linenumber AND it.n_regionkey = 1
+ JOIN lineitem mx ON mx.l_orderkey = o_orderkey JOIN nation ix ON ix.n_nationkey = mx.l_partkey % 25 AND ix.n_regionkey = 2
+ WHERE ((o_orderkey * 2654435761) & 4294967295) % 100 < {p}"""
+
+
+@query(" UNION ALL ".join(_MOVIE_SQL.format(p=p) for p in w.SCALES))
+def movie_scales(spark, d):
+    """Exact sizes of the nine-relation movie tree over nested samples of its titles."""
+    parts = [output_size(w.supply_movies(spark, d, p)).select(F.lit(p).alias("percent"), "output_rows") for p in w.SCALES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -- graphs ----------------------------------------------------------------------------------------------------------------
 
-@query()
+@query(f"""WITH e AS {_GRAPH}, reach AS (SELECT source, count(*) AS n FROM e GROUP BY source),
+ middle AS (SELECT source, target, n FROM (SELECT e.source, e.target, n, row_number() OVER (PARTITION BY e.source ORDER BY n DESC, e.target) AS i FROM e JOIN reach ON reach.source = e.target) WHERE i <= 4),
+ hub AS (SELECT source AS h FROM middle WHERE source IN (SELECT target FROM e) GROUP BY source ORDER BY sum(least(n, 6) * least(n, 6)) DESC, source DESC LIMIT 3),
+ ends AS (SELECT source, target FROM middle WHERE source IN (SELECT h FROM hub)),
+ inward AS (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source) AS i FROM e WHERE target IN (SELECT h FROM hub)) WHERE i <= 5),
+ leaf AS (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target) AS i FROM e WHERE source IN (SELECT target FROM ends)) WHERE i <= 6)
+ SELECT * FROM inward UNION SELECT * FROM ends UNION SELECT * FROM leaf""")
 def hub_topk(spark, d):
     return graphs.hub_edges(w.supply_graph(spark, d), 3, 5, 4, 6)
 
 
-@query()
+_CORE_ROUNDS = 8  # rounds that the SQL writes out; the query goes on until nothing changes
+_CORE = ", ".join(f"e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE source IN (SELECT source FROM e{i} GROUP BY source HAVING count(*) >= 3) AND target IN (SELECT source FROM e{i} GROUP BY source HAVING count(*) >= 3))" for i in range(_CORE_ROUNDS))
+
+
+@query(f"WITH e0 AS {_GRAPH}, {_CORE}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target) AS i FROM e{_CORE_ROUNDS}) SELECT source, target FROM r WHERE i <= 3")
 def k_out_core(spark, d):
     return graphs.out_core(w.supply_graph(spark, d), 3)
 

@@ -140,6 +140,54 @@ def sampled_chain(spark: SparkSession, folder: str, percent: int) -> JoinTree:
     return tree.with_relations({"customer": customer, "orders": orders, "lineitem": line})
 
 
+# What the movie workload's dimensions are filtered by.
+MOVIE_KIND, MOVIE_COUNTRY, MOVIE_COMPANY, MOVIE_RELEASE, MOVIE_RATING = "movie", "[us]", "production companies", "release dates", "rating"
+
+
+def movie_release(title: DataFrame, kind_type: DataFrame, movie_companies: DataFrame, company_name: DataFrame, company_type: DataFrame, movie_info: DataFrame, movie_info_idx: DataFrame, info_type: DataFrame, percent: int = 100) -> JoinTree:
+    """Nine relations below title: its kind, companies (over name and type), infos and rating infos (each over its info type).
+
+    title (id, kind_id); movie_companies (movie_id, company_id, company_type_id); movie_info and movie_info_idx (movie_id, info_type_id);
+    kind_type (id, kind), company_name (id, country_code), company_type (id, kind) and info_type (id, info). percent takes a nested
+    sample of titles, which all facts follow; rows with null keys are kept and never match.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError("a sample has 1 to 100 percent")
+    kept = lambda df, c: df if percent == 100 else df.filter(in_sample(F.col(c), percent))
+    ids = lambda df, c, value, name: df.filter(F.col(c) == value).select(F.col("id").alias(name))
+    facts = lambda df, p: kept(df, "movie_id").join(kept(title, "id").select(F.col("id").alias("movie_id")).distinct(), "movie_id", "left_semi").withColumnsRenamed({c: f"{p}_{c}" for c in df.columns})
+    return JoinTree(
+        {
+            "title": kept(title, "id").select("id", "kind_id"), "kind_type": ids(kind_type, "kind", MOVIE_KIND, "kt_id"),
+            "movie_companies": facts(movie_companies.select("movie_id", "company_id", "company_type_id"), "mc"), "company_name": ids(company_name, "country_code", MOVIE_COUNTRY, "cn_id"), "company_type": ids(company_type, "kind", MOVIE_COMPANY, "ct_id"),
+            "movie_info": facts(movie_info.select("movie_id", "info_type_id"), "mi"), "release_type": ids(info_type, "info", MOVIE_RELEASE, "it_id"),
+            "movie_info_idx": facts(movie_info_idx.select("movie_id", "info_type_id"), "mx"), "rating_type": ids(info_type, "info", MOVIE_RATING, "ix_id"),
+        },
+        [edge("kind_type", "title", "kt_id", "kind_id"), edge("movie_companies", "title", "mc_movie_id", "id"), edge("company_name", "movie_companies", "cn_id", "mc_company_id"), edge("company_type", "movie_companies", "ct_id", "mc_company_type_id"), edge("movie_info", "title", "mi_movie_id", "id"), edge("release_type", "movie_info", "it_id", "mi_info_type_id"), edge("movie_info_idx", "title", "mx_movie_id", "id"), edge("rating_type", "movie_info_idx", "ix_id", "mx_info_type_id")],
+        "title",
+    )
+
+
+SCALES = (20, 40, 60, 80, 100)  #: percent of the titles in the nested series
+
+
+def supply_movies(spark: SparkSession, folder: str, percent: int = 100) -> JoinTree:
+    """movie_release over the test tables: titles are orders, companies suppliers, infos lines; nations, by region, are the types."""
+    order, line, nation = load(spark, folder, "orders"), load(spark, folder, "lineitem"), load(spark, folder, "nation")
+    either = lambda c, one, value, other: F.when(F.col(c) == one, F.lit(value)).otherwise(F.lit(other))
+    movie = F.col("l_orderkey").alias("movie_id")
+    return movie_release(
+        order.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("kind_id")),
+        _long(load(spark, folder, "region"), "r_regionkey").select(F.col("r_regionkey").alias("id"), either("r_regionkey", 1, "series", MOVIE_KIND).alias("kind")),
+        line.select(movie, F.col("l_suppkey").alias("company_id"), F.col("l_linenumber").alias("company_type_id")),
+        load(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") < 18, F.lit(MOVIE_COUNTRY)).otherwise(F.lit("[de]")).alias("country_code")),
+        nation.select(F.col("n_nationkey").alias("id"), either("n_regionkey", 1, "distributors", MOVIE_COMPANY).alias("kind")),
+        line.select(movie, F.col("l_linenumber").alias("info_type_id")), line.select(movie, (F.col("l_partkey") % 25).alias("info_type_id")),
+        nation.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") == 1, F.lit(MOVIE_RELEASE)).when(F.col("n_regionkey") == 2, F.lit(MOVIE_RATING)).otherwise(F.lit("budget")).alias("info")),
+        percent,
+    )
+
+
 def supply_graph(spark: SparkSession, folder: str) -> DataFrame:
     """Edges between suppliers of one order: from a line's supplier to that of the order's next line."""
     line = load(spark, folder, "lineitem")
