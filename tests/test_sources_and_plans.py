@@ -60,6 +60,32 @@ def test_named_workload(spark, tmp_path):
     assert count_output(files.read_product_profit(spark, str(tmp_path))) == 1
 
 
+def test_archive(spark, tmp_path):
+    import tarfile
+
+    (tmp_path / "a.csv").write_text('1,"x, y"\n' * 3)
+    (tmp_path / "b.csv").write_text("")
+    with tarfile.open(tmp_path / "all.tgz", "w:gz") as t:
+        t.add(tmp_path / "a.csv", "inner/a.csv")
+        t.add(tmp_path / "b.csv", "inner/b.csv")
+    paths = files.unpack(spark, f"{tmp_path}/all.tgz", f"{tmp_path}/out")
+    assert paths == [f"{tmp_path}/out/a.csv.gz", f"{tmp_path}/out/b.csv.gz"]
+    assert bag(files.read_quoted_csv(spark, paths[0], {"i": "long", "t": "string"})) == {(1, "x, y"): 3}
+    with tarfile.open(tmp_path / "twice.tgz", "w:gz") as t:
+        t.add(tmp_path / "a.csv", "one/a.csv")
+        t.add(tmp_path / "a.csv", "two/a.csv")
+    with pytest.raises(ValueError):
+        files.unpack(spark, f"{tmp_path}/twice.tgz", f"{tmp_path}/again")
+
+
+def test_counts_that_stop(spark):
+    from treeweave.plans import workloads
+    from treeweave.plans.strategies import count_up_to
+
+    tree = workloads.sample(spark)
+    assert [count_up_to(tree, n) for n in (0, 19, 20, 100)] == [1, 20, 20, 20] and count_output(tree) == 20
+
+
 def test_sinks(spark):
     df = spark.range(10).select("id", F.col("id").alias("b"))
     assert len(files.copy_out(df, 20)) == 10 and files.summary(df) == (10, 2) and files.first_rows(df, 0) == []

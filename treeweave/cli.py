@@ -19,7 +19,7 @@ from .plans.targets import MAX_ROWS, POLICIES, may_copy_out, select_target
 from .session import session
 from .sources import files
 
-BUILT_IN = {"q9": workloads.product_profit, "chain": workloads.chain, "star": workloads.star, "snowflake": workloads.snowflake, "m2m": workloads.many_to_many, "same-dimension": workloads.same_dimension_twice, "q18": workloads.catalog_shape, "q85": workloads.returns_shape, "walks": workloads.two_step_walks}
+BUILT_IN = {"q9": workloads.product_profit, "chain": workloads.chain, "star": workloads.star, "snowflake": workloads.snowflake, "m2m": workloads.many_to_many, "same-dimension": workloads.same_dimension_twice, "q18": workloads.catalog_shape, "q85": workloads.returns_shape, "walks": workloads.two_step_walks, "job13d": workloads.supply_movies}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     source.add_argument("--tree", metavar="FOLDER", help="tree.txt and tables.tbl")
     source.add_argument("--workload", nargs=2, metavar=("NAME", "FOLDER"), help=f"one of {', '.join(files.WORKLOADS)} or tpch9")
     source.add_argument("--tables", nargs=2, metavar=("NAME", "FOLDER"), help=f"one of {', '.join(BUILT_IN)} over Parquet tables")
+    source.add_argument("--sample", action="store_true", help="a tree of six small relations with 20 rows")
     p.add_argument("--strategy", choices=[*STRATEGIES, "all"], default="native")
     p.add_argument("--summary", action="store_true", help="count rows and columns only")
     p.add_argument("--bench", action="store_true", help="make the rows, keep none, print seconds by stage")
@@ -40,11 +41,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-rows", type=int, default=MAX_ROWS)
     p.add_argument("--max-cells", type=int, default=files.COPY_CELLS)
     p.add_argument("--print-limit", type=int, default=10, help="rows to print; 0 for none")
+    p.add_argument("--sweep", type=int, nargs="+", metavar="THREADS", help="with --bench: once for each number of local threads, with seconds in ratio to native")
     p.add_argument("--expected", type=int, help="fail unless the join has so many rows")
     p.add_argument("--threads", type=int, help="local threads; without it the running session or master is used")
     return p
 
 
+def _tree(spark, a: argparse.Namespace):
+    if a.sample:
+        return workloads.sample(spark)
+    if a.tree:
+        return files.read_tree(spark, a.tree)
+    if a.workload:
+        return files.read_product_profit(spark, a.workload[1]) if a.workload[0] == "tpch9" else files.read_workload(spark, *a.workload)
+    return BUILT_IN[a.tables[0]](spark, a.tables[1])
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     p = parser()
     a = p.parse_args(argv)
@@ -56,14 +68,18 @@ def main(argv: Sequence[str] | None = None) -> int:
         p.error("--target needs --policy")
     if a.bench and (a.summary or a.policy):
         p.error("--bench goes alone")
-    spark = session(a.threads)
-    if a.tree:
-        tree = files.read_tree(spark, a.tree)
-    elif a.workload:
-        tree = files.read_product_profit(spark, a.workload[1]) if a.workload[0] == "tpch9" else files.read_workload(spark, *a.workload)
-    else:
-        tree = BUILT_IN[a.tables[0]](spark, a.tables[1])
+    if a.sweep and not a.bench:
+        p.error("--sweep needs --bench")
     strategies = STRATEGIES if a.strategy == "all" else (a.strategy,)
+    for n in a.sweep or ():
+        spark = session(n)
+        got = profile_tree(_tree(spark, a), strategies)
+        print(json.dumps({"threads": n, "rows": got.rows, "seconds": got.seconds, "to_native": {s: round(got.ratio(s, "native"), 2) for s in strategies} if "native" in strategies else None}))
+        spark.stop()
+    if a.sweep:
+        return 0
+    spark = session(a.threads)
+    tree = _tree(spark, a)
     if a.bench:
         got = profile_tree(tree, strategies)
         print(json.dumps({"rows": got.rows, "seconds": got.seconds}))

@@ -59,6 +59,15 @@ def suffix_sum(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[C
     return _sum(df, value, keys, order, name, (0 if inclusive else 1, Window.unboundedFollowing), back=True)
 
 
+def suffix_product(columns: Sequence[Column]) -> list[Column]:
+    """For each column the product of those after it; 1 for the last. The strides of mixed-radix numbers with these digits."""
+    out, product = [], F.lit(1).cast("long")
+    for c in reversed(columns):
+        out.append(product)
+        product = product * c
+    return out[::-1]
+
+
 def group_total(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
     """Every row learns its group's sum. The sums are made before they meet the rows, so a hot group is not one task's."""
     sums = df.groupBy(*keys).agg(F.sum(value).alias(name))

@@ -14,8 +14,8 @@ from ..sources import files
 from ..sources.workspace import Workspace
 from . import graphs, workloads as w
 from .contributions import max_participation, output_size, participation, root_contributions
-from .sensitivity import SizeModel, largest_distance, smoothing
-from .strategies import dangling, evaluate, full_reduce, plain, semi_join_up
+from .sensitivity import SizeModel, largest_distance, noise_factor, padded_size, smoothing
+from .strategies import count_up_to, dangling, evaluate, full_reduce, materialize, plain, semi_join_up
 from .targets import select_target
 from .tree import JoinTree, edge
 
@@ -471,13 +471,44 @@ def _residual_sql(t3: str, t6: str) -> str:
 _SHARES = f"(SELECT x, y FROM generate_series(0, {largest_distance(3, _BETA)}) a(x), generate_series(0, {largest_distance(3, _BETA)}) b(y) WHERE x + y <= {largest_distance(3, _BETA)})"
 
 
-@query(f"{_CHAIN_BOUNDS}, r AS (SELECT {_residual_sql('t3', 't6')} AS degree_only, {_residual_sql('least(t3, e3)', 'least(t6, e6)')} AS consistent FROM d, {_SHARES}), n AS (SELECT (SELECT count(*) FROM customer) AS a, (SELECT count(*) FROM orders) AS b, (SELECT count(*) FROM lineitem) AS c) SELECT degree_only, consistent, consistent AS relaxed, CAST(greatest(a * b, a * c, b * c) AS BIGINT) AS ceiling, CAST(least(degree_only, consistent, greatest(a * b, a * c, b * c)) AS BIGINT) AS final FROM r, n")
+_BOUNDS_SQL = f"{_CHAIN_BOUNDS}, r AS (SELECT {_residual_sql('t3', 't6')} AS degree_only, {_residual_sql('least(t3, e3)', 'least(t6, e6)')} AS consistent FROM d, {_SHARES}), n AS (SELECT (SELECT count(*) FROM customer) AS a, (SELECT count(*) FROM orders) AS b, (SELECT count(*) FROM lineitem) AS c) SELECT degree_only, consistent, consistent AS relaxed, CAST(greatest(a * b, a * c, b * c) AS BIGINT) AS ceiling, CAST(least(degree_only, consistent, greatest(a * b, a * c, b * c)) AS BIGINT) AS final FROM r, n"
+
+
+@query(_BOUNDS_SQL)
 def sensitivity_final(spark, d):
     """One row: the bounds on how much one row can change the size of the chain join, and the smallest of them."""
     s = SizeModel(w.chain(spark, d)).compute(4.0, 1e-8)
     return spark.createDataFrame([(s.degree_only, s.consistent, s.relaxed, s.ceiling, s.final)], "degree_only long, consistent long, relaxed long, ceiling long, final long")
 
 
+@query(f"SELECT exact_rows, final AS sensitivity, CAST(exact_rows + ceil({noise_factor(4.0, 1e-8)!r} * final) AS BIGINT) AS target FROM ({_BOUNDS_SQL}), (SELECT CAST(count(*) AS BIGINT) AS exact_rows FROM {_CHAIN})")
+def padded_target(spark, d):
+    """The chain join's padded size, which its sensitivity gives."""
+    p = padded_size(w.chain(spark, d), 4.0, 1e-8)
+    return spark.createDataFrame([(p.exact_rows, p.sensitivity, p.target)], "exact_rows long, sensitivity long, target long")
+
+
+@query(f"SELECT CAST(least(count(*), 5001) AS BIGINT) AS up_to, CAST(count(*) AS BIGINT) AS up_to_many FROM {_CHAIN}")
+def counts_up_to(spark, d):
+    """Counts that stop beyond 5,000 rows, and beyond a size that is never reached."""
+    tree = w.chain(spark, d)
+    return spark.createDataFrame([(count_up_to(tree, 5000), count_up_to(tree, 2**31 - 2))], "up_to long, up_to_many long")
+
+
+@query("SELECT true AS __valid, CAST(500 AS BIGINT) AS n")
+def cut_join(spark, d):
+    """The chain join cut to 500 rows."""
+    return materialize(w.chain(spark, d), 500, cut=True).groupBy(shape.VALID).agg(F.count("*").alias("n"))
+
+
+@query("WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) SELECT c_custkey, CAST(coalesce(e.n, 0) * coalesce(e.n, 0) AS BIGINT) AS orders_stride, CAST(coalesce(e.n, 0) AS BIGINT) AS first_stride, CAST(1 AS BIGINT) AS second_stride FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN e ON e.k = c_custkey")
+def sibling_strides(spark, d):
+    """For each customer the strides by which its copies are dealt over orders and two lots of events."""
+    rows = root_contributions(w.many_to_many(spark, d, 2))
+    strides = scans.suffix_product([F.col(f"customer__u_{c}") for c in ("orders", "events0", "events1")])
+    return rows.select(F.col("customer__c_custkey").alias("c_custkey"), *[x.alias(f"{n}_stride") for x, n in zip(strides, ("orders", "first", "second"))])
+
+
 @query(f"SELECT CAST(count(*) AS BIGINT) AS exact_rows, CAST(greatest(1, count(*)) AS BIGINT) AS exact_target, CAST(count(*) + 1000 AS BIGINT) AS public_target FROM {_CHAIN}")
 def target_policies(spark, d):
     """Targets of the chain join: exact, and a public size above it."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import align_copies
-from ..operators.scans import global_prefix, rank_offset
+from ..operators.scans import global_prefix, rank_offset, suffix_product
 from ..operators.shape import pad_to, with_numbers
 from ..sources.workspace import Workspace
 from .contributions import contributions, count_output
@@ -96,10 +96,7 @@ def _positions(tree: JoinTree) -> DataFrame:
     state = state.withColumn("pos", F.col("__b") + F.col(f"{root}__lp")).drop("__b", f"{root}__delta")
     for r in tree.breadth_first():
         edges = tree.children(r)
-        for i, e in enumerate(edges):
-            stride = F.lit(1).cast("long")
-            for later in edges[i + 1 :]:
-                stride = stride * F.col(f"{r}__u_{later.child}")
+        for e, stride in zip(edges, suffix_product([F.col(f"{r}__u_{e.child}") for e in edges])):
             child, parent = _keys(e)
             c = e.child
             rows = deltas[c]
@@ -130,6 +127,15 @@ def evaluate(tree: JoinTree, strategy: str = "native", max_rows: int | None = No
     return tree.finish(joined, ["pos"] if with_position else [], column_order)
 
 
+def count_up_to(tree: JoinTree, threshold: int) -> int:
+    """The number of output rows, or threshold + 1 if there are more: tasks stop at so many, and no row has columns.
+
+    For thresholds under 2**31 - 1 that are small beside the tables; the rows up to it meet in one task. count_output has no such bound.
+    """
+    joined = _chain(tree, {r: tree.qualified(r) for r in tree.relations})
+    return joined.select(F.lit(1).alias("one")).limit(threshold + 1).count()
+
+
 def materialize(tree: JoinTree, target: int, strategy: str = "native", cut: bool = False) -> DataFrame:
     """The rows padded to a target size, with __valid. A target under the exact size is an error, or with cut keeps any `target` of the rows."""
     n = count_output(tree)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_sample, like_filter
-from .tree import JoinTree, edge
+from .tree import JoinTree, edge, from_arrays
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -144,6 +144,16 @@ def sampled_chain(spark: SparkSession, folder: str, percent: int) -> JoinTree:
 MOVIE_KIND, MOVIE_COUNTRY, MOVIE_COMPANY, MOVIE_RELEASE, MOVIE_RATING = "movie", "[us]", "production companies", "release dates", "rating"
 
 
+# The six small relations of the sample, with parents and join columns.
+SAMPLE = ([[(15, 10, 3), (8, 7, 5), (9, 10, 1), (8, 9, 3)], [(10, 8), (11, 9), (12, 8), (13, 15)], [(7, 15), (7, 16), (10, 17), (9, 18)], [(1, 1), (3, 4), (3, 2), (5, 1)], [(1, 1), (3, 2), (3, 3), (1, 4)], [(1, 5), (2, 6), (4, 7), (4, 8)]], [-1, 0, 0, 0, 3, 3], [-1, 0, 1, 2, 0, 1], [-1, 1, 0, 0, 0, 0])
+
+
+def sample(spark: SparkSession) -> JoinTree:
+    """A tree of six relations with 20 output rows, to try the command line with."""
+    tables, parent, jp, jc = SAMPLE
+    return from_arrays([spark.createDataFrame(t, ", ".join(f"c{i} long" for i in range(len(t[0])))) for t in tables], parent, jp, jc)
+
+
 def movie_release(title: DataFrame, kind_type: DataFrame, movie_companies: DataFrame, company_name: DataFrame, company_type: DataFrame, movie_info: DataFrame, movie_info_idx: DataFrame, info_type: DataFrame, percent: int = 100) -> JoinTree:
     """Nine relations below title: its kind, companies (over name and type), infos and rating infos (each over its info type).
 

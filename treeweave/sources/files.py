@@ -112,6 +112,44 @@ def read_quoted_csv(spark: SparkSession, path: str, columns: Mapping[str, str],
     return spark.read.csv(path, sep=",", quote='"', escape="\\", multiLine=line_breaks, schema=_fields(columns))
 
 
+def unpack(spark: SparkSession, archive: str, folder: str) -> list[str]:
+    """Files of a .tar or .tgz that the driver can open, each gzipped into a shared folder under its own name; their paths.
+
+    An archive can't be split, so it is streamed once, block by block; members are read in parallel from then on.
+    """
+    import gzip
+    import tarfile
+
+    class Out:
+        def __init__(self, path: str):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            self.stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+
+        def write(self, data) -> int:
+            self.stream.write(bytearray(data))
+            return len(data)
+
+        def flush(self) -> None:
+            self.stream.flush()
+
+    out = []
+    with tarfile.open(archive, "r|*") as members:
+        for m in members:
+            if not m.isfile():
+                continue
+            path = f"{folder}/{m.name.rsplit('/', 1)[-1]}.gz"
+            if path in out:
+                raise ValueError(f"two files of {archive} have the name of {path}")
+            raw = Out(path)
+            with gzip.GzipFile(fileobj=raw, mode="wb", mtime=0) as packed:
+                source = members.extractfile(m)
+                while block := source.read(1 << 20):
+                    packed.write(block)
+            raw.stream.close()
+            out.append(path)
+    return out
+
+
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """source, target of an edge list; lines that start with # are comments."""
     lines = spark.read.text(path).select(F.trim("value").alias("v")).filter((F.col("v") != "") & ~F.col("v").startswith("#"))
