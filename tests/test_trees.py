@@ -175,3 +175,15 @@ def test_acyclicity():
     assert is_acyclic({"r": {"a", "b"}, "s": {"b", "c"}, "t": {"c", "d"}})
     assert is_acyclic({"r": {"a", "b", "c"}, "s": {"a", "b"}, "t": {"c"}})
     assert not is_acyclic({"r": {"a", "b"}, "s": {"b", "c"}, "t": {"c", "a"}})
+
+
+def test_positions_broadcast_no_copies(spark):
+    """Three rows a side stand for 300,000 copies, which neither side of a join may send to the driver."""
+    three = spark.range(3).select(F.col("id").alias("k"))
+    many = spark.range(300_000).select((F.col("id") % 3).alias("k"), "id")
+    tree = JoinTree({"a": three, "b": three, "c": many}, [edge("b", "a", "k"), edge("c", "b", "k")], "a")
+    out = evaluate(tree, "positions", with_position=True)
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "__slot" in x and "Join" in x]
+    assert len(joins) == 2 and not any("Broadcast" in x for x in joins)
+    facts = out.agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("numbers"), F.count_distinct("id").alias("rows"), F.count_if(F.expr("a_k = b_k AND b_k = c_k")).alias("same"))
+    assert tuple(facts.first()) == (300_000, 0, 299_999, 300_000, 300_000, 300_000)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .scans import forward_fill
 from .shape import pad_to, with_numbers
 
+FEW_SLOTS = 200_000  #: slots that may be broadcast: under about 20 MB
+
 
 def _condition(left: DataFrame, left_on: Sequence[str], right: DataFrame, right_on: Sequence[str]) -> list[Column]:
     return [left[a] == right[b] for a, b in zip(left_on, right_on, strict=True)]
@@ -73,13 +75,17 @@ def range_lookup(positions: DataFrame, ranges: DataFrame, key: Sequence[str], po
     return both.filter("__side = 1 AND __last__v IS NOT NULL").select("__row.*", *[F.col(f"__last__v.{v}").alias(v) for v in values])
 
 
-def align_copies(parents: DataFrame, children: DataFrame, parent_key: Sequence[str], child_key: Sequence[str], order: str, offset: str, weight: str, reduced: bool = False) -> DataFrame:
+def align_copies(parents: DataFrame, children: DataFrame, parent_key: Sequence[str], child_key: Sequence[str], order: str, offset: str, weight: str, reduced: bool = False, n_slots: int | None = None) -> DataFrame:
     """Each parent copy with the child that covers its order number: child rows hold [offset, offset + weight) of their key.
 
     Child rows are spread over their slots, and (key, slot) is joined as equality: a hot key's slots are spread over all tasks.
-    Only keys that parents have are spread; children that are reduced to these keys already are taken as they are.
+    Only keys that parents have are spread; children that are reduced to these keys already are taken as they are, and every copy then has its slot.
+
+    Spark takes spread rows for as few as they were before, and would broadcast millions of copies. So the slots are sorted and merged unless n_slots, their number
+    or a bound of it, is small; and a left join, which finds the same rows where every copy has its slot, never broadcasts the parents.
     """
     wanted = children if reduced else children.join(parents.select(*[F.col(p).alias(f"__w{i}") for i, p in enumerate(parent_key)]).distinct(), [F.col(c) == F.col(f"__w{i}") for i, c in enumerate(child_key)], "left_semi")
     slots = with_numbers(wanted, F.col(offset), F.col(weight), "__slot")
+    few = n_slots is not None and n_slots <= FEW_SLOTS
     on = [F.col(p) == F.col(c) for p, c in zip(parent_key, child_key)]
-    return parents.join(slots, [*on, F.col(order) == F.col("__slot")]).drop("__slot")
+    return parents.join(slots if few else slots.hint("merge"), [*on, F.col(order) == F.col("__slot")], "left" if reduced else "inner").drop("__slot")

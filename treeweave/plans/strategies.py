@@ -102,9 +102,10 @@ def _positions(tree: JoinTree) -> DataFrame:
             rows = deltas[c]
             columns = [x for x in rows.columns if "__u_" not in x and not x.endswith("__delta")]
             leaf = not tree.children(c)
+            n_slots = tree.relations[c].count() if leaf else rows.agg(F.sum(f"{c}__delta")).first()[0] or 0
             rows = rank_offset(rows, child, None if leaf else f"{c}__delta", columns, f"{c}__h")
             state = state.withColumn("__stride", stride).withColumn("__ord", F.expr(f"(`{r}__lp` div __stride) % `{r}__u_{c}`"))
-            state = align_copies(state, rows, parent, child, "__ord", f"{c}__h", f"{c}__delta", reduced=True)
+            state = align_copies(state, rows, parent, child, "__ord", f"{c}__h", f"{c}__delta", reduced=True, n_slots=n_slots)
             state = state.withColumn(f"{c}__lp", F.col("__ord") - F.col(f"{c}__h")).drop("__ord", "__stride", f"{c}__h", f"{c}__delta")
     return state
 
