@@ -83,3 +83,15 @@ def test_hubs_and_cores(spark):
     want = {(s, h) for h in hubs for s in sorted(s for s, t in pairs if t == h)[:4]}
     want |= {(h, t) for h in hubs for t in middle[h]} | {(t, x) for h in hubs for t in middle[h] for x in out[t][:2]}
     assert {(x.source, x.target) for x in graphs.hub_edges(edges, 3, 4, 2, 2).collect()} == want
+
+
+def test_chain_positions_broadcast_no_copies(spark, tmp_path):
+    """Few customers and orders with 240,000 lines: their copies are joined by shuffles, and the rows are those of the plain join."""
+    lines = spark.range(240_000).selectExpr("id % 50 AS l_orderkey", "CAST(id AS INT) AS l_linenumber", "id % 7 AS l_partkey", "id % 3 AS l_suppkey")
+    for name, df in (("customer", spark.range(12).selectExpr("id AS c_custkey", "1 AS c_nationkey")), ("orders", spark.range(60).selectExpr("id AS o_orderkey", "id % 11 AS o_custkey")), ("lineitem", lines)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = registry.QUERIES["chain3_positions"](spark, str(tmp_path))
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "__slot" in x and "Join" in x]
+    assert len(joins) == 2 and not any("Broadcast" in x for x in joins)
+    bag = lambda df: tuple(df.selectExpr("count(*)", "sum(CAST(xxhash64(*) AS DECIMAL(38, 0)))").first())
+    assert bag(out) == bag(registry.QUERIES["chain3_join"](spark, str(tmp_path))) and out.count() == 240_000
