@@ -95,3 +95,24 @@ def test_chain_positions_broadcast_no_copies(spark, tmp_path):
     assert len(joins) == 2 and not any("Broadcast" in x for x in joins)
     bag = lambda df: tuple(df.selectExpr("count(*)", "sum(CAST(xxhash64(*) AS DECIMAL(38, 0)))").first())
     assert bag(out) == bag(registry.QUERIES["chain3_join"](spark, str(tmp_path))) and out.count() == 240_000
+
+
+@pytest.fixture(scope="module")
+def long_chain(spark, tmp_path_factory):
+    """A chain with more than a million rows, in which the order of most lines isn't one of the customer with most orders."""
+    path = tmp_path_factory.mktemp("long")
+    lines = spark.range(1_000_100).selectExpr("IF(id < 700, 1999, id % 2000) AS l_orderkey", "CAST(id AS INT) AS l_linenumber", "id % 7 AS l_partkey", "id % 3 AS l_suppkey")
+    for name, df in (("customer", spark.range(20).selectExpr("id AS c_custkey", "1 AS c_nationkey")), ("orders", spark.range(2000).selectExpr("id AS o_orderkey", "IF(id < 300, 0, id % 20) AS o_custkey")), ("lineitem", lines)):
+        df.write.parquet(f"{path}/{name}.parquet")
+    c = duckdb.connect()
+    for name in ("customer", "orders", "lineitem"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet/*.parquet'")
+    return str(path), c
+
+
+@pytest.mark.parametrize("name", ["boundary_bounds"])
+def test_sensitivity_of_a_long_chain(spark, long_chain, name):
+    folder, db = long_chain
+    df = registry.QUERIES[name](spark, folder)
+    columns = sorted(df.columns)
+    assert plain(df.select(*columns).collect()) == plain(db.sql(registry.ORACLE_SQL[name]).select(*columns).fetchall())

@@ -23,7 +23,6 @@ from .contributions import LONG_MAX, count_output
 from .tree import JoinTree
 
 LEAVES = 5e5  #: estimated evaluations above which a sensitivity is not computed: the driver makes about 10,000 a second
-EXACT_ROWS = 1_000_000  #: rows of a component up to which its boundary is computed exactly
 
 
 def clip(n: int) -> int:
@@ -183,7 +182,7 @@ class SizeModel:
         return out
 
     def exact(self, mask: int, kept: frozenset) -> int | None:
-        """The real bound: the product over components; None if a component's kept boundary leaves from two relations, or it is large."""
+        """The real bound: the product over components; None if a component's kept boundary leaves from two relations."""
         product = 1
         for part in self.components(mask):
             key = part, kept
@@ -201,8 +200,6 @@ class SizeModel:
         top = next(iter(carriers)) if carriers else min(part)
         if len(part) == 1:
             return self.degree(top, edges)
-        if sum(self.rows[r] for r in part) > EXACT_ROWS:
-            return None
         from .contributions import contributions
         from .tree import Edge
 
