@@ -110,7 +110,7 @@ def long_chain(spark, tmp_path_factory):
     return str(path), c
 
 
-@pytest.mark.parametrize("name", ["boundary_bounds", "padded_target"])
+@pytest.mark.parametrize("name", ["boundary_bounds", "padded_target", "sensitivity_final"])
 def test_sensitivity_of_a_long_chain(spark, long_chain, name):
     folder, db = long_chain
     df = registry.QUERIES[name](spark, folder)
