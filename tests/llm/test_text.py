@@ -430,3 +430,38 @@ def test_pipeline(spark, tmp_path):
     packed = p.pack_sequences(spark, mixed, d)
     assert Counter(x.doc_id for x in packed.filter("piece = 0").collect()) == Counter(x.doc_id for x in mixed.collect())
     assert [n for n, _ in p.STAGES] == ["toxicity", "near_duplicates", "mix", "pack"] and p.run(spark, d).count() > 0
+
+
+def test_words_at_line_starts_need_no_pattern():
+    """Letters behind a line feed, with a mark or without, are pieces of their own: the split pattern, which is slow, isn't asked."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from treeweave.llm.common import BpeCodec
+
+    bpe, whole = BpeCodec(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["\nWord", "\nword,", "\nÉlan", "\nélan?", "\nx", "\nX."]
+    want = [whole.encode(w, add_special_tokens=False).ids for w in words]
+    odd = ["\n", "\n.", "\n..", "\n,a", "\nit's", "\nà1;", "\n1", "\nab́", "\nДа!", "a", "a.", ".", "é!", "it's"]
+    assert [list(memoryview(bpe.word(w)).cast("H")) for w in odd] == [whole.encode(w if w[0] == "\n" else " " + w, add_special_tokens=False).ids for w in odd]
+    bpe.split = None
+    assert [list(memoryview(bpe.word(w)).cast("H")) for w in words] == want
+
+
+def test_chosen_places_against_a_plain_loop():
+    """Runs of one pair give every second place from the left; of touching ones the smaller rank goes first, then the left one."""
+    r = random.Random(5)
+    for _ in range(300):
+        where = sorted(r.sample(range(60), r.randint(0, 40)))
+        rank = [r.randrange(3) for _ in where]
+        alive, k = [], 0
+        for i, w in enumerate(where):
+            k = k + 1 if i and where[i - 1] == w - 1 and rank[i - 1] == rank[i] else 0
+            if k % 2 == 0:
+                alive.append((rank[i], w))
+        want: set[int] = set()
+        for _, w in sorted(alive):
+            if w - 1 not in want and w + 1 not in want:
+                want.add(w)
+        got = token_files._chosen(np.array(where, np.int64), np.array(rank, np.int16))
+        assert {w for w, x in zip(where, got) if x} == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ class BpeCodec:
         self.feed, self.marks = self.piece("\n"), {m: self.piece(m) for m in MARKS}
 
     def _ids(self, coded: str) -> bytes:
-        return _bytes([t.id for t in self.tokenize(coded)])
+        return _bytes(list(map(ID, self.tokenize(coded))))
 
     def piece(self, piece: str) -> bytes:
         """ids of one piece of the pattern."""
@@ -106,15 +107,17 @@ class BpeCodec:
     def word(self, word: str) -> bytes:
         """A word that follows a space, or the start of a line. Letters, or such with a mark behind them, are told without the pattern;
         letters beyond U+024F aren't, as Unicode versions differ there."""
-        if word[-1] in MARKS and len(word) > 1:
-            body = word[:-1]
-            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
-                return (self.words.get(body) or self.words.old.get(body) or self.word(body)) + self.marks[word[-1]]
-        elif word.isalpha() and max(word) < "\u0250":
-            return self._ids(self.space + word.encode().decode("latin-1").translate(self.bytes))
-        if word[0] == "\n":
-            return self.feed + self._any(word[1:])
-        return self._any(" " + word)
+        start = word[0] == "\n"
+        body = word[1:] if start else word
+        marked = body[-1:] in MARKS and len(body) > 1
+        letters = body[:-1] if marked else body
+        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+            known = (self.words.get(letters) or self.words.old.get(letters)) if marked and not start else None
+            if known is None:
+                coded = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.bytes)
+                known = self.feed + self._ids(coded) if start else self._ids(self.space + coded)
+            return known + self.marks[body[-1]] if marked else known
+        return self.feed + self._any(body) if start else self._any(" " + word)
 
     def _any(self, text: str) -> bytes:
         return b"".join(map(self.piece, self.split.findall(text)))
@@ -149,6 +152,7 @@ def _bytes(ids: list[int]) -> bytes:
     return got.tobytes()
 
 
+ID = attrgetter("id")
 MARKS = frozenset(".,;:!?")
 #: Every character that some version of Unicode counts as white space.
 SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() or c == "\u180e")
@@ -169,7 +173,7 @@ class _Words(dict):
         got = self.old.get(word)
         if got is None:
             if word.isascii() and word.isalpha() and LITTLE:
-                got = array("H", [t.id for t in self.tokenize(self.space + word)]).tobytes()
+                got = array("H", list(map(ID, self.tokenize(self.space + word)))).tobytes()
             else:
                 body = word[1:] if word[:1] == "\n" else word
                 if not body or body[0] in SPACES or body[-1] in SPACES:

@@ -38,13 +38,19 @@ def _chosen(where, rank):
     """Which of the ascending places to replace: no two that touch, and of touching ones the pair of the smaller rank."""
     import numpy as np
 
-    out = np.zeros(len(where), bool)
+    out = np.ones(len(where), bool)
     touch = np.diff(where) == 1
-    left = np.arange(len(where), dtype=np.int32)
-    same = np.concatenate(([False], touch & (rank[1:] == rank[:-1])))
+    near = np.zeros(len(where), bool)
+    near[1:] = touch
+    near[:-1] |= touch
+    left = np.flatnonzero(near).astype(np.int32)  # those alone are replaced
+    out[left] = False
+    same = np.zeros(len(left), bool)
+    same[1:] = (np.diff(where[left]) == 1) & (np.diff(rank[left]) == 0)
     if same.any():  # of one pair again and again every second, from the left
+        at = np.arange(len(left), dtype=np.int32)
         first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-        left = left[(left - first) % 2 == 0]
+        left = left[(at - first) % 2 == 0]
     while len(left):
         w, r = where[left], rank[left]
         touch, up = np.diff(w) == 1, r[1:] > r[:-1]
@@ -121,10 +127,12 @@ def repair(ids, base: int, min_count: int = MIN_COUNT, min_uses: int = MIN_USES,
         if least > min_count:
             least = max(min_count, least // 4)
         else:
-            place = np.cumsum(keep, dtype=np.int32) - 1
-            here = place[where]
-            at = np.unique(np.concatenate([here, here - 1, place[waiting[keep[waiting]]]]))
-            at = at[(at >= 0) & (at < place[-1])]
+            here = where - np.arange(len(where), dtype=np.int32)  # places are ascending, and one symbol goes behind each
+            waiting = waiting[keep[waiting]]
+            look = np.zeros(len(seq) - len(where), bool)
+            look[here] = look[here - 1] = look[waiting - np.searchsorted(where, waiting - 1)] = True
+            look[-1] = False
+            at = np.flatnonzero(look).astype(np.int32)
         seq = seq[keep]
     return seq, np.concatenate(rules), size[base : base + made]
 
