@@ -116,3 +116,24 @@ def test_sensitivity_of_a_long_chain(spark, long_chain, name):
     df = registry.QUERIES[name](spark, folder)
     columns = sorted(df.columns)
     assert plain(df.select(*columns).collect()) == plain(db.sql(registry.ORACLE_SQL[name]).select(*columns).fetchall())
+
+
+def chain_folder(spark, path, customers, orders, lines):
+    """A chain from pairs of keys, and a database over it."""
+    c = duckdb.connect()
+    for name, columns, rows in (("customer", "c_custkey long, c_nationkey long", customers), ("orders", "o_orderkey long, o_custkey long", orders), ("lineitem", "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long", [(*x, 1, 1) for x in lines])):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{path}/{name}.parquet")
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet/*.parquet'")
+    return c
+
+
+def same_as_sql(spark, folder, db, name):
+    df = registry.QUERIES[name](spark, str(folder))
+    columns = sorted(df.columns)
+    return plain(df.select(*columns).collect()) == plain(db.sql(registry.ORACLE_SQL[name]).select(*columns).fetchall())
+
+
+def test_padded_target_of_an_empty_chain(spark, tmp_path):
+    """Orders of unknown customers: the chain has no rows."""
+    db = chain_folder(spark, tmp_path, [(1, 1), (2, 1)], [(1, 7), (2, 7), (3, 8)], [(i % 3 + 1, i) for i in range(9)])
+    assert same_as_sql(spark, tmp_path, db, "padded_target")

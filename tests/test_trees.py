@@ -187,3 +187,9 @@ def test_positions_broadcast_no_copies(spark):
     assert len(joins) == 2 and not any("Broadcast" in x for x in joins)
     facts = out.agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("numbers"), F.count_distinct("id").alias("rows"), F.count_if(F.expr("a_k = b_k AND b_k = c_k")).alias("same"))
     assert tuple(facts.first()) == (300_000, 0, 299_999, 300_000, 300_000, 300_000)
+
+
+@pytest.mark.parametrize("name", ["no_match", "empty_root", "empty_child", "empty_inner"])
+def test_saturated_count_of_an_empty_output(spark, name):
+    tree = build(spark, CASES[name])
+    assert count_output(tree, saturate=True) == count_output(tree) == 0

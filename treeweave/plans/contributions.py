@@ -13,7 +13,9 @@ LONG_MAX = 2**63 - 1
 
 
 def _saturated(c: Column) -> Column:
-    return F.least(c.cast("decimal(38,0)"), F.lit(LONG_MAX).cast("decimal(38,0)")).cast("long")
+    """At most LONG_MAX; null, the sum of no rows, stays null, which least() would pass over."""
+    wide, top = c.cast("decimal(38,0)"), F.lit(LONG_MAX).cast("decimal(38,0)")
+    return F.when(wide > top, top).otherwise(wide).cast("long")
 
 
 def _times(a: Column, b: Column, saturate: bool) -> Column:
