@@ -137,3 +137,21 @@ def test_padded_target_of_an_empty_chain(spark, tmp_path):
     """Orders of unknown customers: the chain has no rows."""
     db = chain_folder(spark, tmp_path, [(1, 1), (2, 1)], [(1, 7), (2, 7), (3, 8)], [(i % 3 + 1, i) for i in range(9)])
     assert same_as_sql(spark, tmp_path, db, "padded_target")
+
+
+ODD_CHAINS = {
+    "no line matches": ([(1, 1), (2, 1)], [(i, i % 2 + 1) for i in range(30)], [(i % 9 + 100, i) for i in range(60)]),
+    "no order matches": ([(1, 1), (2, 1)], [(1, 7), (2, 7), (3, 8)], [(i % 3 + 1, i) for i in range(9)]),
+    "no customers": ([], [(i, i % 2) for i in range(30)], [(99, i) for i in range(20)] + [(1, 1)]),
+    "no orders": ([(1, 1), (1, 1)], [], [(i % 9, i) for i in range(60)]),
+    "no lines": ([(1, 1), (1, 1)], [(1, 1), (1, 2), (1, 2)], []),
+    "nothing": ([], [], []),
+    "null keys": ([(None, 1), (None, 1), (1, 1)], [(None, 1), (None, None), (1, None), (2, 1)], [(None, 1), (None, 2), (1, 3), (2, 4)]),
+}
+
+
+@pytest.mark.parametrize("case", ODD_CHAINS)
+def test_bounds_of_odd_chains(spark, tmp_path, case):
+    """Sets of relations of which no rows meet, and empty tables, have the bounds of the SQL."""
+    db = chain_folder(spark, tmp_path, *ODD_CHAINS[case])
+    assert [n for n in ("boundary_bounds", "sensitivity_final", "padded_target") if not same_as_sql(spark, tmp_path, db, n)] == []

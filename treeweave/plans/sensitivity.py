@@ -6,6 +6,9 @@ Relations are bits of a mask. Every edge is one attribute, known by its child; t
 leave it. T(E) bounds how many combinations of rows of the set E agree with one assignment of its boundary. Local sensitivity at distance k
 adds k changed rows anywhere: the largest, over a left-out relation and shares of k, of the sum over sets E of T(E) times
 the shares of the relations outside E. The sensitivity is the maximum over k of exp(-beta k) times that.
+
+With floor every T, size and result is at least 1. Without it, as in SQL, what has no rows has no bound (None): an exact bound of no joined rows
+gives way to the degree bound, and a left-out relation whose others have an empty one among them tells nothing.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ def _best_split(a: float, b: float, c: float, d: float, totals: np.ndarray) -> n
     return best
 
 
-def residual(bounds: Mapping[int, int], m: int, beta: float) -> int:
+def residual(bounds: Mapping[int, int | None], m: int, beta: float) -> int:
     """max over k of exp(-beta k) times the local sensitivity at distance k. bounds: T by mask; the empty set has 1.
 
     The shares of all but two relations are enumerated; for those two the sum is a quadratic form, maximal in closed form. With two
@@ -67,6 +70,8 @@ def residual(bounds: Mapping[int, int], m: int, beta: float) -> int:
     top, best = largest_distance(m, beta), 0.0
     for gone in range(m):
         others = [r for r in range(m) if r != gone]
+        if bounds.get(sum(1 << r for r in others), 1) is None:
+            continue
         held, pair = others[:-2], others[-2:]
 
         def coefficient(shares: tuple[int, ...], inside: int) -> float:
@@ -121,23 +126,27 @@ class Sensitivity:
 class SizeModel:
     """Bounds of one tree. Degrees and component boundaries are Spark aggregates, each computed once; the rest is arithmetic over masks."""
 
-    def __init__(self, tree: JoinTree):
-        self.tree, self.names = tree, list(tree.relations)
+    def __init__(self, tree: JoinTree, floor: bool = True):
+        self.tree, self.names, self.floor = tree, list(tree.relations), floor
         self.m = len(self.names)
         at = {r: i for i, r in enumerate(self.names)}
         self.parent = {at[e.child]: at[e.parent] for e in tree.edges}
         self.columns = {(at[e.child], at[e.child]): e.child_columns for e in tree.edges} | {(at[e.parent], at[e.child]): e.parent_columns for e in tree.edges}
         self.near = {r: {c for c, p in self.parent.items() if p == r} | ({self.parent[r]} if r in self.parent else set()) for r in range(self.m)}
         self.attributes = {r: frozenset(a for x, a in self.columns if x == r) for r in range(self.m)}
-        self._degrees: dict[tuple[int, frozenset], int] = {}
+        self._degrees: dict[tuple[int, frozenset], int | None] = {}
         self._boundaries: dict[tuple[frozenset, frozenset], int | None] = {}
         self.rows = {r: self.tree.relations[n].count() for r, n in enumerate(self.names)}
 
-    def degree(self, r: int, attributes: frozenset) -> int:
-        """Most rows of r that agree in the attributes, at least 1."""
+    def raised(self, n: int) -> int | None:
+        """A bound of n rows."""
+        return max(1, n) if self.floor else n or None
+
+    def degree(self, r: int, attributes: frozenset) -> int | None:
+        """Most rows of r that agree in the attributes."""
         if (r, attributes) not in self._degrees:
             columns = [c for a in sorted(attributes) for c in self.columns[r, a]]
-            self._degrees[r, attributes] = max(1, max_frequency(self.tree.relations[self.names[r]], columns).first()[0] if columns else self.rows[r])
+            self._degrees[r, attributes] = self.raised(max_frequency(self.tree.relations[self.names[r]], columns).first()[0] if columns else self.rows[r])
         return self._degrees[r, attributes]
 
     def members(self, mask: int) -> list[int]:
@@ -158,8 +167,10 @@ class SizeModel:
                 seen |= self.near[r]
         raise ValueError("the tree is not connected")
 
-    def by_degrees(self, mask: int, kept: frozenset) -> int:
+    def by_degrees(self, mask: int, kept: frozenset) -> int | None:
         """The largest, over relations outside, of the product of degrees inside: each by its edge towards that relation and its kept boundary edges."""
+        if not self.floor and not all(self.rows[j] for j in self.members(mask)):
+            return None
         best = 1
         for r in (r for r in range(self.m) if not mask >> r & 1):
             product = 1
@@ -182,7 +193,7 @@ class SizeModel:
         return out
 
     def exact(self, mask: int, kept: frozenset) -> int | None:
-        """The real bound: the product over components; None if a component's kept boundary leaves from two relations."""
+        """The real bound: the product over components; None if a component's kept boundary leaves from two relations, or without floor if it has no rows."""
         product = 1
         for part in self.components(mask):
             key = part, kept
@@ -219,7 +230,7 @@ class SizeModel:
         rows = contributions(inner, saturate=True)[name]
         total = F.sum(F.col(f"{name}__delta").cast("decimal(38,0)")).alias("n")
         grouped = rows.groupBy(*[f"{name}__{c}" for c in columns]).agg(total) if columns else rows.agg(total)
-        return max(1, clip(int(grouped.agg(F.max("n")).first()[0] or 0)))
+        return self.raised(clip(int(grouped.agg(F.max("n")).first()[0] or 0)))
 
     def compute(self, epsilon: float, delta: float) -> Sensitivity:
         beta, m = smoothing(epsilon, delta), self.m
@@ -230,7 +241,7 @@ class SizeModel:
             return out
         full = (1 << m) - 1
         larger_first = sorted(range(1, full), key=lambda e: (-e.bit_count(), e))
-        degree: dict[tuple[int, frozenset], int] = {}
+        degree: dict[tuple[int, frozenset], int | None] = {}
         exact: dict[tuple[int, frozenset], int | None] = {}
         for e in larger_first:
             edges = self.boundary(e)
@@ -239,7 +250,7 @@ class SizeModel:
                     degree[e, dropped] = self.by_degrees(e, edges - dropped)
                     exact[e, dropped] = self.exact(e, edges - dropped)
         of = lambda table, e: {d: v for (x, d), v in table.items() if x == e and v is not None}
-        by_degree = {e: min(of(degree, e).values()) for e in larger_first}
+        by_degree = {e: min(of(degree, e).values(), default=None) for e in larger_first}
         by_exact = {e: min(of(exact, e).values(), default=None) for e in larger_first}
         better = {e for e in larger_first if by_exact[e] is not None and by_exact[e] < by_degree[e]}
         out.exact_available = len(better)
@@ -253,7 +264,7 @@ class SizeModel:
         consistent = {e: by_exact[e] if e in used else by_degree[e] for e in larger_first}
         # relaxations chosen for larger sets bind the smaller ones; below a degree bound only degree bounds follow
         chosen: dict[int, tuple[frozenset, str]] = {}
-        relaxed: dict[int, int] = {}
+        relaxed: dict[int, int | None] = {}
         for e in larger_first:
             needed = frozenset().union(*(chosen[s][0] for s in over(e))) & self.boundary(e)
             options = [(v, order, d, "degree") for order, d, v in [(1, needed, degree.get((e, needed)))] if v]
@@ -263,12 +274,12 @@ class SizeModel:
             chosen[e], relaxed[e] = (dropped, kind), value
         out.degree_only, out.consistent, out.relaxed = (residual(t, m, beta) for t in (by_degree, consistent, relaxed))
         out.ceiling = self.ceiling()
-        out.final = max(1, min(out.degree_only, out.consistent, out.relaxed, out.ceiling))
+        out.final = min(out.degree_only, out.consistent, out.relaxed, out.ceiling)
         return out
 
     def ceiling(self) -> int:
         """Largest product of the sizes of all relations but one: holds for every instance of these sizes."""
-        return max(1, max(clip(math.prod(self.rows[j] for j in range(self.m) if j != i)) for i in range(self.m)))
+        return max(int(self.floor), max(clip(math.prod(self.rows[j] for j in range(self.m) if j != i)) for i in range(self.m)))
 
 
 def noise_factor(epsilon: float, delta: float) -> float:
@@ -289,13 +300,13 @@ class PaddedSize:
         return self.target - self.exact_rows
 
 
-def padded_size(tree: JoinTree, epsilon: float = 1.0, delta: float = 1e-9, explicit: int = 0) -> PaddedSize:
-    """exact + ceil(factor * max(1, sensitivity)), or the explicit size if that is larger than the exact one; at least 1, saturating."""
+def padded_size(tree: JoinTree, epsilon: float = 1.0, delta: float = 1e-9, explicit: int = 0, floor: bool = True) -> PaddedSize:
+    """exact + ceil(factor * sensitivity), or the explicit size if that is larger than the exact one; saturating. With floor the sensitivity and the size are at least 1."""
     exact = count_output(tree, saturate=True)
-    found = SizeModel(tree).compute(epsilon, delta)
+    found = SizeModel(tree, floor).compute(epsilon, delta)
     sensitivity = 0 if found.too_expensive else found.final
     if explicit > 0:
-        return PaddedSize(exact, sensitivity, 0.0, max(1, exact, explicit))
+        return PaddedSize(exact, sensitivity, 0.0, max(int(floor), exact, explicit))
     factor = noise_factor(epsilon, delta)
-    noise = factor * max(1, sensitivity)
-    return PaddedSize(exact, sensitivity, factor, max(1, clip(exact + (math.ceil(noise) if noise < LONG_MAX else LONG_MAX))))
+    noise = factor * max(int(floor or found.too_expensive), sensitivity)
+    return PaddedSize(exact, sensitivity, factor, max(int(floor), clip(exact + (math.ceil(noise) if noise < LONG_MAX else LONG_MAX))))
