@@ -193,3 +193,17 @@ def test_positions_broadcast_no_copies(spark):
 def test_saturated_count_of_an_empty_output(spark, name):
     tree = build(spark, CASES[name])
     assert count_output(tree, saturate=True) == count_output(tree) == 0
+
+
+def test_positions_broadcast_no_large_relation(spark, tmp_path):
+    """300,000 rows of one value fill a file of a few KB, which Spark would broadcast for its size; with many rows on both sides it may not."""
+    spark.range(300_000).selectExpr("CAST(1 AS BIGINT) AS k", "id DIV 300000 AS v").coalesce(1).write.parquet(f"{tmp_path}/same")
+    same = spark.read.parquet(f"{tmp_path}/same")
+    many = spark.range(300_000).select((F.col("id") + 1).alias("k"), "id")
+    tree = JoinTree({"a": same, "b": many}, [edge("b", "a", "k")], "a")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().splitlines()
+    seen = [x for x in plan(contributions(tree, keep_dangling=False, n_rows={"a": 300_000, "b": 300_000})["a"]) if "Join" in x]
+    out = evaluate(tree, "positions", with_position=True)
+    seen += [x for x in plan(out) if "LeftSemi" in x]
+    assert len(seen) == 2 and all("SortMergeJoin" in x for x in seen)
+    assert tuple(out.agg(F.count("*"), F.count_distinct("pos"), F.max("id")).first()) == (300_000, 300_000, 0)

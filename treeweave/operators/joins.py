@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .scans import forward_fill
 from .shape import pad_to, with_numbers
 
-FEW_SLOTS = 200_000  #: slots that may be broadcast: under about 20 MB
+FEW_SLOTS = 200_000  #: slots, or rows whose number is known, that may be broadcast: under about 20 MB
 
 
 def _condition(left: DataFrame, left_on: Sequence[str], right: DataFrame, right_on: Sequence[str]) -> list[Column]:

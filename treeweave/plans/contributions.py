@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.errors import ArithmeticException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import FEW_SLOTS
 from ..sources.workspace import Workspace
 from .tree import CountOverflow, Edge, JoinTree
 
@@ -43,11 +46,12 @@ def _parent(e: Edge) -> list[str]:
     return [f"{e.parent}__{c}" for c in e.parent_columns]
 
 
-def contributions(tree: JoinTree, saturate: bool = False, keep_dangling: bool = True, work: Workspace | None = None) -> dict[str, DataFrame]:
+def contributions(tree: JoinTree, saturate: bool = False, keep_dangling: bool = True, work: Workspace | None = None, n_rows: Mapping[str, int] | None = None) -> dict[str, DataFrame]:
     """For each relation its qualified rows with u_<child> (the summed delta of its matches) and delta, their product; leaves have 1.
 
     keep_dangling=False leaves out rows of delta 0, and so joins inside only. With work, inner relations other than the root are
-    written: who reads them besides their parent's sums doesn't count their subtrees again.
+    written: who reads them besides their parent's sums doesn't count their subtrees again. n_rows: rows of each relation; Spark sizes files as they are
+    compressed, so where both sides of a join may have many rows neither is broadcast.
     """
     out: dict[str, DataFrame] = {}
     for r in reversed(tree.breadth_first()):
@@ -57,7 +61,8 @@ def contributions(tree: JoinTree, saturate: bool = False, keep_dangling: bool =
             u = f"{r}__u_{e.child}"
             sums = _totals(out[e.child], _child(e), f"{e.child}__delta", u, saturate)
             keys = [f"__k{i}" for i in range(len(e.child_columns))]
-            df = df.join(sums, _on(df, _parent(e), sums), "left" if keep_dangling else "inner").drop(*keys)
+            many = n_rows is not None and min(n_rows[r], n_rows[e.child]) > FEW_SLOTS
+            df = df.join(sums.hint("merge") if many else sums, _on(df, _parent(e), sums), "left" if keep_dangling else "inner").drop(*keys)
             if keep_dangling:
                 df = df.withColumn(u, F.coalesce(u, F.lit(0)))
             delta = _times(delta, F.col(u), saturate)

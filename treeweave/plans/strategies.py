@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import align_copies
+from ..operators.joins import FEW_SLOTS, align_copies
 from ..operators.scans import global_prefix, rank_offset, suffix_product
 from ..operators.shape import pad_to, with_numbers
 from ..sources.workspace import Workspace
@@ -31,9 +31,11 @@ def _chain(tree: JoinTree, relations: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _half_join(left: DataFrame, left_keys: list[str], right: DataFrame, right_keys: list[str]) -> DataFrame:
+def _half_join(left: DataFrame, left_keys: list[str], right: DataFrame, right_keys: list[str], n_right: int | None = None) -> DataFrame:
+    """Left rows that match. A right side that is known to have many rows is never broadcast, however small its files."""
     side = right.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(right_keys)])
-    return left.join(side, [left[a] == side[f"__s{i}"] for i, a in enumerate(left_keys)], "left_semi")
+    many = n_right is not None and n_right > FEW_SLOTS
+    return left.join(side.hint("merge") if many else side, [left[a] == side[f"__s{i}"] for i, a in enumerate(left_keys)], "left_semi")
 
 
 def semi_join_up(tree: JoinTree) -> dict[str, DataFrame]:
@@ -81,13 +83,14 @@ def _positions(tree: JoinTree) -> DataFrame:
     """The root's rows take consecutive positions, in the order of all their columns, as many as they contribute. Below it, a copy's
     number among its siblings' combinations (mixed radix, the last child fastest) names the child row that covers it."""
     work = Workspace(tree.relations[tree.root].sparkSession, "positions")
-    deltas = contributions(tree, keep_dangling=False, work=work)
+    n_rows = {r: df.count() for r, df in tree.relations.items()}
+    deltas = contributions(tree, keep_dangling=False, work=work, n_rows=n_rows)
     root = tree.root
     deltas[root] = work.write(deltas[root], f"delta-{root}")
     for r in tree.breadth_first()[1:]:  # rows that the output lacks go before any is spread
         e = tree.edge_to(r)
         child, parent = _keys(e)
-        deltas[r] = _half_join(deltas[r], child, deltas[e.parent], parent)
+        deltas[r] = _half_join(deltas[r], child, deltas[e.parent], parent, n_rows[e.parent])
         if tree.children(r):
             deltas[r] = work.write(deltas[r], f"down-{r}")
     order = [c for c in deltas[root].columns if "__u_" not in c and not c.endswith("__delta")]
@@ -102,7 +105,7 @@ def _positions(tree: JoinTree) -> DataFrame:
             rows = deltas[c]
             columns = [x for x in rows.columns if "__u_" not in x and not x.endswith("__delta")]
             leaf = not tree.children(c)
-            n_slots = tree.relations[c].count() if leaf else rows.agg(F.sum(f"{c}__delta")).first()[0] or 0
+            n_slots = n_rows[c] if leaf else rows.agg(F.sum(f"{c}__delta")).first()[0] or 0
             rows = rank_offset(rows, child, None if leaf else f"{c}__delta", columns, f"{c}__h")
             state = state.withColumn("__stride", stride).withColumn("__ord", F.expr(f"(`{r}__lp` div __stride) % `{r}__u_{c}`"))
             state = align_copies(state, rows, parent, child, "__ord", f"{c}__h", f"{c}__delta", reduced=True, n_slots=n_slots)
