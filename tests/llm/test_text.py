@@ -465,3 +465,50 @@ def test_chosen_places_against_a_plain_loop():
                 want.add(w)
         got = token_files._chosen(np.array(where, np.int64), np.array(rank, np.int16))
         assert {w for w, x in zip(where, got) if x} == want
+
+
+def column(texts, kind="string"):
+    import pyarrow as pa
+
+    return pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.type_for_alias(kind))}).to_batches()[0]
+
+
+def test_column_codec(library, monkeypatch):
+    """Whole columns give the library's ids, with words that leave the cache, come back and are joined by few or many."""
+    from treeweave.llm import column_codec as cc
+
+    r = random.Random(3)
+    some = ["<|endoftext|>", "<|endof", "text|>", "\n", " ", "  ", "a", "é", "foo", "Bar.", "'s", "12", "!?", "　", "\xa0", "᠎", "日本", "ɐx", "\t", "\t\n", "\x1c", "\r\n", "İ", "x́", "\x00", "ª", "²", "_", "\nfoo", "\n1.", "\x01"]
+    texts = ODD + ["", "x" * 3000 + " y"] + [words(r, 200) for _ in range(20)]
+    texts += ["".join(r.choice(some) for _ in range(r.randrange(1, 12))) for _ in range(2000)]
+    texts += ["".join(r.choice([" ", "\n"]) + r.choice(some[6:]) + r.choice(["", "x", ".", "###", "'"]) for _ in range(8))[1:] for _ in range(500)]
+    want = [library(t) for t in texts]
+    for chunk, kept, known, joined, kind in ((cc.CHUNK, cc.KEPT, cc.KNOWN, cc.JOINED, "string"), (2000, 2, 50, 3, "large_string"), (60, 1, 5, 1, "string")):
+        for name, value in (("CHUNK", chunk), ("KEPT", kept), ("KNOWN", known), ("JOINED", joined)):
+            monkeypatch.setattr(cc, name, value)
+        c = cc.ColumnCodec(codec())
+        got = list(c.rows(column(texts, kind).slice(2), "doc_id", "text"))
+        assert [(i, np.frombuffer(x, "<u2").tolist()) for i, x in got] == list(enumerate(want))[2:] and len(c.words) <= known
+        c.between = None
+        assert c.encode(column(texts[:100]).column("text")) == [codec().encode(t) for t in texts[:100]]
+
+
+def test_token_files_encode_plain_words_together(library, monkeypatch):
+    """A shard's new plain words are told to the model many at a time, known ones not again, and no text word by word."""
+    from types import SimpleNamespace
+
+    import pyspark
+
+    from treeweave.llm.common import BpeCodec
+
+    calls, ids = [], BpeCodec._ids
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(BpeCodec, "encode", None)
+    monkeypatch.setattr(BpeCodec, "word", None)
+    monkeypatch.setattr(BpeCodec, "_ids", lambda self, coded: (calls.append(coded), ids(self, coded))[1])
+    texts = ["\n".join(" ".join("qzx" + "äbcdefghij"[k % 10] * (k % 7) + chr(97 + k // 26 % 26) + chr(97 + k % 26) + ["", ",", "...", "###"][k % 4] for k in range(s, s + 50)) for s in range(d, d + 600, 50)) for d in range(30)]
+    for most in (600 // 10, 10):
+        (shard,) = token_files._encode(None, 2, 10**6)([column(texts)])
+        got = token_files.Shard(*(shard.column(c)[0].as_py() for c in ("base", "rules", "lengths", "symbols", "marks"))).ids()
+        assert got.tolist() == [x for t in texts for x in [*library(t), 2]] and len(calls) <= most
+        calls.clear()

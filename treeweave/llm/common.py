@@ -80,7 +80,9 @@ class BpeCodec:
         with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
             whole = json.load(f)
         model = whole["model"]
-        self.tokenize = BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], cache_capacity=0).tokenize
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.tokenize = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0).tokenize
+        self.alone = {x for x in model["vocab"] if len(x) == 1} - {x for a, b in merges for x in (a[-1], b[0])}  #: no merge joins them to what lies before or behind
         added = {t["content"]: t for t in whole["added_tokens"]}
         if any(t[flag] for t in added.values() for flag in ("lstrip", "rstrip", "single_word")):
             raise ValueError("added tokens that look at their neighbours are not supported")

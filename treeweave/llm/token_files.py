@@ -20,7 +20,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import codec, partitions, rows, small
+from .column_codec import column_codec
+from .common import partitions, small
 
 END = 2
 SHARD_IDS = 2_000_000  #: ids after which a shard ends, with its document
@@ -183,7 +184,8 @@ def _encode(vocabulary: str | None, end: int, shard_ids: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bpe, tail, part, block = codec(vocabulary), np.array([end], "<u2").tobytes(), TaskContext.get().partitionId(), 0
+        columns, tail, part, block = column_codec(vocabulary), np.array([end], "<u2").tobytes(), TaskContext.get().partitionId(), 0
+        bpe = columns.bpe
         names, coded, held = [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -196,9 +198,9 @@ def _encode(vocabulary: str | None, end: int, shard_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for b in batches:
-            for i, text in rows(b, "doc_id", "text"):
+            for i, ids in columns.rows(b, "doc_id", "text"):
                 names.append(i)
-                coded.append(bpe.encode(text) + tail)
+                coded.append(ids + tail)
                 held += len(coded[-1]) // 2
                 if held >= shard_ids:
                     yield row()
