@@ -482,6 +482,8 @@ def test_column_codec(library, monkeypatch):
     texts = ODD + ["", "x" * 3000 + " y"] + [words(r, 200) for _ in range(20)]
     texts += ["".join(r.choice(some) for _ in range(r.randrange(1, 12))) for _ in range(2000)]
     texts += ["".join(r.choice([" ", "\n"]) + r.choice(some[6:]) + r.choice(["", "x", ".", "###", "'"]) for _ in range(8))[1:] for _ in range(500)]
+    texts += ["".join(r.choice(["x", "Y.", "7", "'s", "é", "\t", "<|endoftext|>", ""]) + "".join(r.choice(" \n") for _ in range(r.choice([0, 1, 2, 3, 9]))) for _ in range(8)) for _ in range(500)]
+    texts += [a + s * n + b for a in ("", "a") for b in ("", "b", "\n") for s in (" ", "\n", " \n") for n in (2, 30, 59, 60, 61, 62, 63, 64, 200)]
     want = [library(t) for t in texts]
     for chunk, kept, known, joined, kind in ((cc.CHUNK, cc.KEPT, cc.KNOWN, cc.JOINED, "string"), (2000, 2, 50, 3, "large_string"), (60, 1, 5, 1, "string")):
         for name, value in (("CHUNK", chunk), ("KEPT", kept), ("KNOWN", known), ("JOINED", joined)):
@@ -512,3 +514,15 @@ def test_token_files_encode_plain_words_together(library, monkeypatch):
         got = token_files.Shard(*(shard.column(c)[0].as_py() for c in ("base", "rules", "lengths", "symbols", "marks"))).ids()
         assert got.tolist() == [x for t in texts for x in [*library(t), 2]] and len(calls) <= most
         calls.clear()
+
+
+def test_runs_of_spaces_and_line_feeds_are_cut(library, monkeypatch):
+    """Blank lines and indentation don't send a text through the split pattern."""
+    from treeweave.llm import column_codec as cc
+    from treeweave.llm.common import BpeCodec
+
+    texts = ["\n\nOne two.\n\n\nThree:\n    four  five\n", " six ", "  \n", "\n", "  x", "", None]
+    c = cc.ColumnCodec(BpeCodec())
+    c.bpe.split = None
+    monkeypatch.setattr(BpeCodec, "encode", None)
+    assert [np.frombuffer(x, "<u2").tolist() for x in c.encode(column(texts).column("text"))] == [library(t) for t in texts]

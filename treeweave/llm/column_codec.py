@@ -2,8 +2,9 @@
 
 The ids are those of BpeCodec.encode, text by text. Words are cut as there: at single spaces, and before line feeds. Most new words are plain:
 letters or digits, with punctuation behind them or without. Their bodies are told to the library's BPE model many at a time, with a byte between
-them that no merge joins to another one, which is the same as one at a time. Other words go to BpeCodec one by one. Texts that can't be cut so (white space beside
-white space, added tokens) and very long ones go to it as a whole.
+them that no merge joins to another one, which is the same as one at a time. Other words go to BpeCodec one by one. Of a run of spaces and line feeds
+the last one belongs to the word behind it; those before it are a piece, as in the split pattern, and so is a whole run at the end of a text. Texts that can't be cut so
+(other white space beside a cut, runs over RUN, added tokens) and very long ones go to BpeCodec as a whole.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ CHUNK = 16 << 20  #: bytes of text encoded at once; longer texts go to BpeCodec
 KEPT = 4  #: words are kept until that many chunks went by without them: each chunk numbers all known words, for about a fifteenth of encoding one anew
 KNOWN = 1_000_000  #: words kept at most
 JOINED = 64  #: bodies in a call of the model
+RUN = 60  #: spaces and line feeds in a row, without the last one
 FIRST = "\t\n"  #: stands before the first word of a text: a line feed begins a word, so no other word has one further on
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  #: beyond, Unicode versions differ
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  #: all of ASCII but the apostrophe, which the split pattern treats apart
 PLAIN = r"\A(?:\t?\n)?(?:[" + LETTERS + r"]+|[0-9]+)[!-&(-/:-@\[-`{-~]*\z"
+ODD, SPACE, FEED = 1, 2, 3  #: kinds of words: those whose texts can't be cut, and those that are but the space or line feed before them
 HEAD = "\t\n0123456789" + "".join(c for c in map(chr, range(0x250)) if c.isalpha())
 
 
@@ -30,7 +33,7 @@ class ColumnCodec:
 
         self.bpe = bpe
         self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
-        self.odd, self.seen, self.now = np.zeros(0, bool), np.zeros(0, np.int64), 0  # words whose texts can't be cut; when a word was last seen
+        self.kind, self.seen, self.now = np.zeros(0, np.int8), np.zeros(0, np.int64), 0  # when a word was last seen
         self.between = next((b for b in range(32) if chr(bpe.bytes[b]) in bpe.alone), None)
         self.alphabet = np.array([bpe.bytes[b] for b in range(256)], "<u2")
 
@@ -54,20 +57,18 @@ class ColumnCodec:
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "")
-        long = pc.greater(pc.binary_length(texts), CHUNK)
-        spaced = pc.replace_substring(pc.if_else(long, pa.scalar("", texts.type), texts).cast(pa.string()), "\n", " \n")
-        whole = long
-        for where, what in [*((texts, token) for token in self.bpe.added), (spaced, "  "), (spaced, "\n ")]:
-            whole = pc.or_(whole, pc.match_substring(where, what))
+        whole = pc.greater(pc.binary_length(texts), CHUNK)
+        for token in self.bpe.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
         whole = whole.to_numpy(zero_copy_only=False).copy()
-        cut = pc.if_else(pa.array(whole), "", spaced) if whole.any() else spaced
-        lists = pc.split_pattern(pc.binary_join_element_wise(FIRST, cut, ""), " ")
+        cut = (pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts) if whole.any() else texts).cast(pa.string())
+        lists = pc.split_pattern(pc.binary_join_element_wise(FIRST, pc.replace_substring(cut, "\n", " \n"), ""), " ")
         starts = lists.offsets.to_numpy()
         index = self._known(lists.values)
-        if self.odd.any():
-            found = np.flatnonzero(self.odd[index])
-            whole[np.searchsorted(starts, found, "right") - 1] = True
-        coded = self.ids.take(pa.array(index))
+        kind = self.kind[index]
+        runs, odd = self._runs(index, kind)
+        whole[np.searchsorted(starts, np.concatenate([np.flatnonzero(kind == ODD), odd]), "right") - 1] = True
+        coded = (pa.concat_arrays([self.ids, runs]) if len(runs) else self.ids).take(pa.array(index))
         at = np.frombuffer(coded.buffers()[1], np.int32, len(coded) + 1, coded.offset * 4)[starts]
         data = memoryview(coded.buffers()[2] or b"")
         out = [data[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -76,6 +77,27 @@ class ColumnCodec:
         self._forget()
         return out
 
+    def _runs(self, index, kind):
+        """ids of the distinct runs of two and more words without a body, which are one piece each, and the places of runs that are too long.
+        In index a run's first word becomes the run, numbered behind the known words, and its others become the last of these ids, which is empty."""
+        import numpy as np
+        import pyarrow as pa
+
+        at = np.flatnonzero(kind >= SPACE)
+        first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        length = np.diff(np.append(first, len(at)))
+        some = (length > 1) & (length <= RUN)
+        odd = at[first[length > RUN]]
+        if not some.any():
+            return pa.array([], pa.binary()), odd
+        place = np.arange(len(at)) - np.repeat(first, length)
+        feeds = np.add.reduceat((kind[at] == FEED).astype(np.int64) << np.minimum(place, RUN), first)
+        codes, which = np.unique(feeds[some] | np.int64(1) << length[some], return_inverse=True)  # a bit for each word, and one behind them
+        blanks = ["".join("\n" if c >> k & 1 else " " for k in range(c.bit_length() - 1)) for c in codes.tolist()]
+        index[at[np.repeat(some, length)]] = len(self.words) + len(codes)
+        index[at[first[some]]] = len(self.words) + which
+        return pa.array([*map(self.bpe.piece, blanks), b""], pa.binary()), odd
+
     def _known(self, words):
         """The place of each word among the known ones, to which new ones are added."""
         import numpy as np
@@ -86,9 +108,9 @@ class ColumnCodec:
         place = numbered.indices.to_numpy()[n:]
         index = place[own.indices.to_numpy()]
         if len(numbered.dictionary) > n:
-            ids, odd = self._learn(numbered.dictionary[n:])
-            self.words, self.ids, self.odd = numbered.dictionary, pa.concat_arrays([self.ids, ids]), np.concatenate([self.odd, odd])
-            self.seen = np.concatenate([self.seen, np.zeros(len(odd), np.int64)])
+            ids, kind = self._learn(numbered.dictionary[n:])
+            self.words, self.ids, self.kind = numbered.dictionary, pa.concat_arrays([self.ids, ids]), np.concatenate([self.kind, kind])
+            self.seen = np.concatenate([self.seen, np.zeros(len(kind), np.int64)])
         self.now += 1
         self.seen[place] = self.now
         return index
@@ -102,20 +124,20 @@ class ColumnCodec:
             kept = np.sort(np.argsort(-self.seen, kind="stable")[:KNOWN])
         if len(kept) < len(self.words):
             some = pa.array(kept)
-            self.words, self.ids, self.odd, self.seen = self.words.take(some), self.ids.take(some), self.odd[kept], self.seen[kept]
+            self.words, self.ids, self.kind, self.seen = self.words.take(some), self.ids.take(some), self.kind[kept], self.seen[kept]
 
     def _learn(self, words):
-        """ids of each word, and whether its text can't be cut there."""
+        """ids of each word, and its kind."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         plain = np.zeros(len(words), bool) if self.between is None else pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
-        odd, others = np.zeros(len(words), bool), []
+        kind, others = np.zeros(len(words), np.int8), []
         at = np.flatnonzero(~plain)
         for k, word in zip(at.tolist(), words.take(pa.array(at)).to_numpy(zero_copy_only=False)):
             got = self._word(word)
-            odd[k] = got is None
+            kind[k] = ODD if got is None else {"": SPACE, "\n": FEED}.get(word, 0)
             others.append(got or b"")
         ids = [pa.array(others, pa.binary())]
         if plain.any():
@@ -123,13 +145,15 @@ class ColumnCodec:
         place = np.empty(len(words), np.int64)
         place[at] = np.arange(len(at))
         place[plain] = len(at) + np.arange(len(words) - len(at))
-        return pa.concat_arrays(ids).take(pa.array(place)), odd
+        return pa.concat_arrays(ids).take(pa.array(place)), kind
 
     def _word(self, word: str) -> bytes | None:
-        """ids of any word; None if it has white space at its ends, or is none."""
+        """ids of any word; None if it has white space of its own at its ends."""
         first = word.startswith(FIRST)
         body = word[len(FIRST) :] if first else word[1:] if word[:1] == "\n" else word
-        if not body or body[-1] in SPACES or (body[0] in SPACES and not first):
+        if not body:
+            return b"" if first else self.bpe.piece(word or " ")
+        if body[-1] in SPACES or (body[0] in SPACES and not first):
             return None
         return self.bpe._any(body) if first else self.bpe.word(word)
 
