@@ -526,3 +526,16 @@ def test_runs_of_spaces_and_line_feeds_are_cut(library, monkeypatch):
     c.bpe.split = None
     monkeypatch.setattr(BpeCodec, "encode", None)
     assert [np.frombuffer(x, "<u2").tolist() for x in c.encode(column(texts).column("text"))] == [library(t) for t in texts]
+
+
+def test_token_files_tasks_hand_back_memory(monkeypatch):
+    """Workers outlive their tasks: a task gives the memory it has freed back, after its last shard."""
+    from types import SimpleNamespace
+
+    import pyspark
+
+    freed = []
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(token_files, "release", lambda: freed.append(1))
+    shards = token_files._encode(None, 2, 2)([column(["a b", "c"])])
+    assert [len(freed) for _ in shards] == [0, 0] and freed == [1]

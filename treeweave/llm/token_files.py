@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .column_codec import column_codec
-from .common import partitions, small
+from .common import partitions, release, small
 
 END = 2
 SHARD_IDS = 2_000_000  #: ids after which a shard ends, with its document
@@ -207,6 +207,8 @@ def _encode(vocabulary: str | None, end: int, shard_ids: int):
                     names, coded, held, block = [], [], 0, block + 1
         if names:
             yield row()
+        names, coded = [], []
+        release()
 
     return encode
 
